@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.llm.cut_off import cut_off, cut_share
+from quire.llm.leaks import leaks
 from quire.llm.quota_sample import sample_to_targets
 from quire.llm.same_look import same_look, same_look_pairs
 from quire.llm.split_tree import split_oversized
@@ -62,6 +64,18 @@ def p8_ids(spark, sf):
     return token_ids(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+def p9_found(spark, sf):
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
+
+
+def p10_found(spark, sf):
+    return cut_off(table(spark, sf, "documents")).where("is_cut").select("doc_id")
+
+
+def p10_sources(spark, sf):
+    return cut_share(cut_off(table(spark, sf, "documents")))
+
+
 QUERIES = {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
 _TRIM = r"regexp_replace(category, '^[\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+|[\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+$', '', 'g')".replace("\\u", "\\x")
