@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.cut_off import cut_off, cut_share
 from quire.llm.leaks import leaks
+from quire.llm.mojibake import repair_encoding
 from quire.llm.quota_sample import sample_to_targets
 from quire.llm.same_look import same_look, same_look_pairs
 from quire.llm.split_tree import split_oversized
@@ -60,6 +61,14 @@ def p5_pieces(spark, sf):
     return _pieces(spark, sf).withColumn("heading_stack", F.array_join("heading_stack", " / "))
 
 
+def p7_found(spark, sf):
+    return repair_encoding(table(spark, sf, "chunks"), "chunk_id", "content").where("affected").select(F.col("id").alias("chunk_id")).distinct()
+
+
+def p7_restored(spark, sf):
+    return repair_encoding(table(spark, sf, "chunks"), "chunk_id", "content").where("affected").distinct()
+
+
 def p8_ids(spark, sf):
     return token_ids(table(spark, sf, "documents").select("doc_id", "text"))
 

@@ -77,9 +77,7 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[tuple
     longer: list[list[int]] = [[]]
     pairs: dict[tuple[int, int], int] = {}
     alike = look_alikes()
-    for o in range(TOP):
-        if 0xD800 <= o <= 0xDFFF or 0xE000 <= o <= 0xF8FF or 0xF0000 <= o or 0x20000 <= o < 0x2F800 or 0x3400 <= o < 0x4DC0 or 0x4E00 <= o < 0xA000:
-            continue
+    for o in (*range(0x3400), *range(0x4DC0, 0x4E00), *range(0xA000, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20), *range(0xE0000, 0xE0200)):
         ch = chr(o)
         ccc[o] = unicodedata.combining(ch)
         raw = unicodedata.decomposition(ch)
@@ -93,7 +91,7 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[tuple
         elif ch in "\x0b\x0c\x85  ":
             first[o] = 10
         else:
-            to = [alike.get(ord(x), ord(x)) for x in (unicodedata.normalize("NFD", ch) if 0xAC00 <= o < 0xD7A4 else _used(ch))]
+            to = [alike.get(ord(x), ord(x)) for x in _used(ch)]
             if len(to) == 1:
                 first[o] = to[0]
             else:
@@ -105,7 +103,7 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[tuple
         for j in range(21):
             lv = 0xAC00 + (i * 21 + j) * 28
             pairs[0x1100 + i, 0x1161 + j] = lv
-            for k in range(1, 28):
+            for k in range(1, 28):  # a syllable is its composed form already
                 pairs[lv, 0x11A7 + k] = lv + k
     width = max(map(len, longer))
     wide = np.zeros((len(longer), width + 1), np.uint32)
