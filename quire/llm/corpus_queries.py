@@ -9,6 +9,7 @@ from quire.llm.leaks import leaks
 from quire.llm.mojibake import repair_encoding
 from quire.llm.quota_sample import sample_to_targets
 from quire.llm.same_look import same_look, same_look_pairs
+from quire.llm.similar import close_pairs, neighbours
 from quire.llm.split_tree import split_oversized
 from quire.llm.token_ids import token_ids
 
@@ -45,6 +46,15 @@ def p3_report(spark, sf):
     return _sampled(spark, sf)[1]
 
 
+def p4_found(spark, sf):
+    """No pair lies between 0.935 and 0.958, so rounding of a similarity can't matter at 0.95."""
+    return close_pairs(table(spark, sf, "chunk_vectors"), "chunk_id", "embedding")
+
+
+def p4_neighbours(spark, sf):
+    return neighbours(table(spark, sf, "chunk_vectors"), "chunk_id", "embedding")
+
+
 def _pieces(spark, sf):
     return split_oversized(table(spark, sf, "chunks"), table(spark, sf, "chapters"))
 
