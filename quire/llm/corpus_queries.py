@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.llm.cut_off import cut_off, cut_share
+from quire.llm.language import labelled_sample, mixed_languages, owner_languages, segments
 from quire.llm.leaks import leaks
 from quire.llm.mojibake import repair_encoding
 from quire.llm.quota_sample import sample_to_targets
@@ -71,6 +72,30 @@ def p5_pieces(spark, sf):
     return _pieces(spark, sf).withColumn("heading_stack", F.array_join("heading_stack", " / "))
 
 
+def _segments(spark, sf):
+    return segments(table(spark, sf, "chunks"), labelled_sample(table(spark, sf, "documents"), "doc_id", "text", "lang"), "chunk_id", "content", "book_id")
+
+
+#: What the labels of books say; any other label of a language says none of these.
+LABELS = {"中文": "zh", "英文": "en", "中英混合": "zh+en", "其他": "other"}
+
+
+def p6_found(spark, sf):
+    from quire.session import written
+
+    seg, _ = written(_segments(spark, sf), "language")
+    said = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])[F.regexp_replace("language", r"(?U)^\s+|\s+$", "")]
+    books = table(spark, sf, "books").where(F.col("id").isNotNull()).groupBy("id").agg(F.max(said).alias("said"))
+    means = F.when(F.col("lang").isin("zh", "en", "zh+en"), F.col("lang")).otherwise(F.lit("other"))
+    found = books.join(owner_languages(seg), F.col("id") == F.col("owner")).where(F.col("said").isNull() | (F.col("said") != means))
+    chunks = mixed_languages(seg)
+    return found.select(F.lit("books").alias("tab"), "id", "lang").unionByName(chunks.select(F.lit("chunks").alias("tab"), "id", "lang"))
+
+
+def p6_segments(spark, sf):
+    return _segments(spark, sf).select(F.col("id").alias("chunk_id"), "start", "end", "lang", F.round("confidence", 4).alias("confidence"))
+
+
 def p7_found(spark, sf):
     return repair_encoding(table(spark, sf, "chunks"), "chunk_id", "content").where("affected").select(F.col("id").alias("chunk_id")).distinct()
 
