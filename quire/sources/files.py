@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions.text import category_of_path
 
@@ -29,7 +30,7 @@ def decode_bytes(raw: bytes | None) -> tuple[str, str]:
     return "utf-8", raw.decode("utf-8", "ignore")
 
 
-@F.pandas_udf("encoding string, text string")
+@F.pandas_udf(T.StructType([T.StructField("encoding", T.StringType()), T.StructField("text", T.StringType())]))
 def decoded(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([decode_bytes(x) for x in raw], columns=["encoding", "text"])
 
