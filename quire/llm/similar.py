@@ -8,7 +8,10 @@ from. A query builds the tables of its products with all words, scans the codes
 table look-up, and the best candidates are reranked with the exact vectors.
 
 Cells and words are fitted on a bounded sample (``SAMPLE`` points); every point is indexed and every point is
-a query. A cell above ``BLOCK`` points is scanned in blocks, so no task holds an unbounded cell.
+a query. How many cells a query visits is measured, at every size: the neighbours of ``ASKED`` points are
+searched exactly among all points, and so many cells are visited that these hold ``REACH`` of them. Near
+cells form areas; a query goes to an area once, with the set of its cells there. An area above ``BLOCK``
+points is scanned in blocks, so no task holds an unbounded one.
 
 Defined results: vectors that are null, of another length, all zero or hold a null or NaN are ignored; rows
 repeated in full count once, and of several vectors of one id the smallest counts; ties of similarity go to
@@ -32,12 +35,15 @@ DIM, SUB, WORDS = 64, 32, 16
 SAMPLE = 40_000  # points that cells and words are fitted on
 CELL = 400  # points of a cell on average
 MAX_CELLS = 8_192
-PROBES = 10  # cells a query visits
+REACH = 0.97  # share of true neighbours that lie in the cells a query visits, as measured on ASKED points
+ASKED = 512  # points whose neighbours are searched exactly, to choose how many cells a query visits
+AREA = 24  # near cells that are scanned by one task, so a query moves once for all of them
 ETA = 4.0  # weight of the parallel error against the error across
 RERANK = 48  # candidates of a query and block that are scored exactly
-BLOCK = 4_096  # points of a cell that are scanned together
+SCAN = 4_096  # points of a cell that are scanned together
+BLOCK = 16_384  # points of an area that go to one task
 QUERIES = 1_024  # scored at once
-ASKING = 16_384  # queries of a cell that go to one task
+ASKING = 32_768  # queries of an area that go to one task
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -76,6 +82,29 @@ class Quantiser:
                         b = r[m].sum(0) + (ETA - 1) * (u * (u * r[m]).sum(1, keepdims=True)).sum(0)
                         w[j] = np.linalg.solve(a, b)
             self.words[s] = w
+        self.probes = len(self.cells)  # cells a query visits
+        self.area, self.bit = self._areas(rng)
+
+    def _areas(self, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """Area of each cell, and its number within the area: near cells together, at most 2 * AREA."""
+        own = (self.cells @ _kmeans(self.cells, -(-len(self.cells) // AREA), 8, rng).T).argmax(1)
+        area, bit, n = np.zeros(len(own), np.int32), np.zeros(len(own), np.int64), 0
+        for a in np.unique(own):
+            members = np.flatnonzero(own == a)
+            for i in range(0, len(members), 2 * AREA):
+                part = members[i : i + 2 * AREA]
+                area[part], bit[part] = n, np.arange(len(part))
+                n += 1
+        return area, bit
+
+    def asked(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(offsets, areas, masks): for each row of cells the areas they lie in, and the cells there as bits."""
+        n = int(self.area.max()) + 1
+        key = (np.arange(len(near), dtype=np.int64)[:, None] * n + self.area[near]).ravel()
+        order = key.argsort(kind="stable")
+        key, bits = key[order], (np.int64(1) << self.bit[near].ravel())[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        return np.searchsorted(key[first], np.arange(len(near) + 1, dtype=np.int64) * n).astype(np.int32), (key[first] % n).astype(np.int32), np.bitwise_or.reduceat(bits, first)
 
     @staticmethod
     def _losses(r: np.ndarray, x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -108,6 +137,42 @@ class Quantiser:
         return np.round((p - low) / step[None, :, None]).astype(np.uint8)
 
 
+def _exact(asked: np.ndarray, k: int):
+    """The k points of a partition that are most similar to each of the asked ones, by exact products."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, near = np.zeros((len(asked), 0), np.float32), np.zeros((len(asked), 0, DIM), np.float32)
+        for b in batches:
+            x = _matrix(b)
+            for i in range(0, len(x), 4096):
+                part = x[i : i + 4096]
+                s = asked @ part.T
+                s[s > 1 - 1e-6] = -2.0  # itself
+                top = np.argpartition(-s, min(k, len(part)) - 1, axis=1)[:, :k]
+                score, near = np.concatenate([score, np.take_along_axis(s, top, 1)], 1), np.concatenate([near, part[top]], 1)
+                best = np.argsort(-score, axis=1)[:, :k]
+                score, near = np.take_along_axis(score, best, 1), np.take_along_axis(near, best[:, :, None], 1)
+        who, j = np.nonzero(score > -2.0)
+        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(score[who, j].astype(np.float64)), pa.array([v.tobytes() for v in near[who, j]], pa.binary())], names=["who", "similarity", "vector"])
+
+    return run
+
+
+def probes_needed(points: DataFrame, quantiser: Quantiser, asked: np.ndarray, k: int) -> int:
+    """How many cells the asked points must visit, so that these hold REACH of their k nearest among all points."""
+    from pyspark.sql import Window as W
+
+    near = points.select("vector").mapInArrow(_exact(asked, k), "who long, similarity double, vector binary")
+    best = near.withColumn("r", F.row_number().over(W.partitionBy("who").orderBy(F.desc("similarity"), "vector"))).where(F.col("r") <= k)
+    rows = best.select("who", "vector").collect()
+    if not rows:
+        return 1
+    cell = quantiser.cell_of(np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(-1, DIM), 1)[:, 0]
+    order = quantiser.cell_of(asked, len(quantiser.cells))[[r[0] for r in rows]]
+    place = np.sort((order == cell[:, None]).argmax(1))
+    return int(place[math.ceil(REACH * len(place)) - 1]) + 1
+
+
 def _assign(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quantiser: Quantiser = shared.value
@@ -115,9 +180,12 @@ def _assign(shared):
             if not b.num_rows:
                 continue
             x = _matrix(b)
-            near = quantiser.cell_of(x, PROBES)
-            codes = quantiser.encode(x, near[:, 0])
-            yield pa.RecordBatch.from_arrays([b.column("point"), b.column("vector"), pa.array(near[:, 0], pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], names=["point", "vector", "cell", "code", "probes"])
+            near = quantiser.cell_of(x, quantiser.probes)
+            own = near[:, 0]
+            codes = quantiser.encode(x, own)
+            offsets, areas, masks = quantiser.asked(near)
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(v)) for v in (areas, masks)]
+            yield pa.RecordBatch.from_arrays([b.column("point"), b.column("vector"), pa.array(quantiser.area[own]), pa.array(quantiser.bit[own]), pa.array([c.tobytes() for c in codes], pa.binary()), *lists], names=["point", "vector", "area", "bit", "code", "areas", "masks"])
 
     return run
 
@@ -127,39 +195,50 @@ def _matrix(b: pa.RecordBatch) -> np.ndarray:
 
 
 def _scan(shared, k: int):
-    """A group of (cell, block): its points are scanned by the queries that visit the cell."""
+    """A group of (area, block, turn): the points of its cells are scanned by the queries that visit them."""
 
     def run(key, table):
         quantiser: Quantiser = shared.value
         role = table["is_query"]
-        here, asked = table.filter(pc.invert(role)), table.filter(role)
+        here, asked = table.filter(pc.invert(role)).sort_by("cells"), table.filter(role).sort_by("cells")
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         ids = here["point"].to_numpy()
         x = np.frombuffer(b"".join(here["vector"].to_pylist()), np.float32).reshape(-1, DIM)
         packed = np.frombuffer(b"".join(here["code"].to_pylist()), np.uint8).reshape(-1, SUB // 2)
         codes = np.stack([packed >> 4, packed & 15], 2).reshape(-1, SUB).T.astype(np.intp)
-        n = len(ids)
-        for start in range(0, asked.num_rows if n else 0, QUERIES):
+        bits, first = np.unique(here["cells"].to_numpy(), return_index=True)
+        scans = [(bit, i, min(i + SCAN, end)) for bit, start, end in zip(bits, first, [*first[1:], len(ids)]) for i in range(start, end, SCAN)]
+        for start in range(0, asked.num_rows if len(ids) else 0, QUERIES):
             part = asked.slice(start, QUERIES)
-            who = part["point"].to_numpy()
+            who, masks = part["point"].to_numpy(), part["cells"].to_numpy()
             q = np.frombuffer(b"".join(part["vector"].to_pylist()), np.float32).reshape(-1, DIM)
-            if n > RERANK:
-                steps = quantiser.tables(q)  # the cell's own share of the product is the same for all its points
-                total = np.zeros((len(q), n), np.uint16)
-                for s in range(SUB):
-                    total += np.take(steps[s], codes[s], axis=1)
-                best = np.argpartition(total, n - RERANK, axis=1)[:, n - RERANK :]
-                score = np.einsum("qd,qrd->qr", q, x[best])
-                other = ids[best]
-            else:
-                score = q @ x.T
-                other = np.broadcast_to(ids, score.shape)
-            score = np.where(other == who[:, None], -2.0, score)
-            m = min(k, score.shape[1])
-            top = np.argpartition(-score, m - 1, axis=1)[:, :m]
-            s, o = np.take_along_axis(score, top, 1).ravel(), np.take_along_axis(other, top, 1).ravel()
-            keep = s > -2.0
-            out.append((np.repeat(who, m)[keep], o[keep], s[keep].astype(np.float64)))
+            steps = quantiser.tables(q)  # the cell's own share of the product is the same for all its points
+            met: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for bit, lo, hi in scans:
+                rows, n = np.flatnonzero(masks >> bit & 1), hi - lo
+                if not len(rows):
+                    continue
+                if n > RERANK:
+                    total = np.zeros((len(rows), n), np.uint16)
+                    for s in range(SUB):
+                        total += np.take(steps[s][rows], codes[s, lo:hi], axis=1)
+                    best = np.argpartition(total, n - RERANK, axis=1)[:, n - RERANK :] + lo
+                    score = np.einsum("qd,qrd->qr", q[rows], x[best])
+                    other = ids[best]
+                else:
+                    score = q[rows] @ x[lo:hi].T
+                    other = np.broadcast_to(ids[lo:hi], score.shape)
+                score = np.where(other == who[rows][:, None], -2.0, score)
+                m = min(k, score.shape[1])
+                top = np.argpartition(-score, m - 1, axis=1)[:, :m]
+                met.append((np.repeat(rows, m), np.take_along_axis(other, top, 1).ravel(), np.take_along_axis(score, top, 1).ravel()))
+            if not met:
+                continue
+            row, other, score = map(np.concatenate, zip(*met))
+            order = np.lexsort((other, -score, row))  # the best k of all cells here
+            row, other, score = row[order], other[order], score[order]
+            keep = (np.arange(len(row)) - np.searchsorted(row, row) < k) & (score > -2.0)
+            out.append((who[row[keep]], other[keep], score[keep].astype(np.float64)))
         return pa.table(dict(zip(("point", "other", "similarity"), map(np.concatenate, zip(*out)))))
 
     return run
@@ -199,20 +278,24 @@ def neighbours(df: DataFrame, id_col: str, vector_col: str, k: int = 10, seed: i
     if not len(sample):
         sample = np.frombuffer(points.select("vector").first()[0], np.float32).reshape(-1, DIM)
     cells = max(1, min(MAX_CELLS, len(sample) // 4, math.ceil(n / CELL)))
-    shared = spark.sparkContext.broadcast(Quantiser(sample, cells, seed))
-    index, _ = written(points.select("point", "vector").mapInArrow(_assign(shared), "point long, vector binary, cell int, code binary, probes array<int>"), "similar")
-    # blocks of a cell's points, and of the queries that visit it: at most MAX_CELLS rows each
+    quantiser = Quantiser(sample, cells, seed)
+    if cells > 1:
+        asked = sample[np.random.default_rng(seed).permutation(len(sample))[:ASKED]]
+        quantiser.probes = probes_needed(points, quantiser, asked, k)
+    shared = spark.sparkContext.broadcast(quantiser)
+    index, _ = written(points.select("point", "vector").mapInArrow(_assign(shared), "point long, vector binary, area int, bit long, code binary, areas array<int>, masks array<long>"), "similar")
+    # blocks of an area's points, and of the queries that visit it: at most one row for each area
     parts = {}
-    for what, rows_, most in (("points", index.select("cell"), BLOCK), ("queries", index.select(F.explode("probes").alias("cell")), ASKING)):
-        large = rows_.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > most).collect()
-        pairs = [F.lit(x) for r in large for x in (r["cell"], math.ceil(r["n"] / most))]
-        parts[what] = F.coalesce(F.create_map(*pairs)[F.col("cell")], F.lit(1)) if pairs else F.lit(1)
+    for what, rows_, most in (("points", index.select("area"), BLOCK), ("queries", index.select(F.explode("areas").alias("area")), ASKING)):
+        large = rows_.groupBy("area").agg(F.count("*").alias("n")).where(F.col("n") > most).collect()
+        pairs = [F.lit(x) for r in large for x in (r["area"], math.ceil(r["n"] / most))]
+        parts[what] = F.coalesce(F.create_map(*pairs)[F.col("area")], F.lit(1)) if pairs else F.lit(1)
     part_of = lambda n: F.pmod(F.xxhash64("point", F.lit(1)), n.cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    stored = index.select("cell", part_of(parts["points"]).alias("block"), every(parts["queries"]).alias("turn"), "point", "vector", "code", F.lit(False).alias("is_query"))
-    asking = index.select("point", "vector", F.explode("probes").alias("cell"))
-    asking = asking.select("cell", every(parts["points"]).alias("block"), part_of(parts["queries"]).alias("turn"), "point", "vector", F.lit(None).cast("binary").alias("code"), F.lit(True).alias("is_query"))
-    found = stored.unionByName(asking).groupBy("cell", "block", "turn").applyInArrow(_scan(shared, k), "point long, other long, similarity double")
+    stored = index.select("area", part_of(parts["points"]).alias("block"), every(parts["queries"]).alias("turn"), "point", "vector", F.col("bit").alias("cells"), "code", F.lit(False).alias("is_query"))
+    asking = index.select("point", "vector", F.explode(F.arrays_zip("areas", "masks")).alias("at")).select("point", "vector", "at.areas", "at.masks").withColumnsRenamed({"areas": "area", "masks": "cells"})
+    asking = asking.select("area", every(parts["points"]).alias("block"), part_of(parts["queries"]).alias("turn"), "point", "vector", "cells", F.lit(None).cast("binary").alias("code"), F.lit(True).alias("is_query"))
+    found = stored.unionByName(asking).groupBy("area", "block", "turn").applyInArrow(_scan(shared, k), "point long, other long, similarity double")
     from pyspark.sql import Window as W
 
     best = found.withColumn("r", F.row_number().over(W.partitionBy("point").orderBy(F.desc("similarity"), "other"))).where(F.col("r") <= k)

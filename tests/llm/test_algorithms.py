@@ -44,6 +44,21 @@ def test_neighbours_against_brute_force(spark):
     assert {tuple(r) for r in close_pairs(df, "id", "v").collect()} == pairs
 
 
+def test_neighbours_without_clusters(spark):
+    """Neighbours lie in far more than ten of the 25 cells; as many are visited as hold them."""
+    x = np.random.default_rng(5).normal(size=(10_000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(f"v{i:05}", v.tolist()) for i, v in enumerate(x)], "id string, v array<float>")
+    got: dict = {}
+    for r in neighbours(df, "id", "v").collect():
+        got.setdefault(r["id"], set()).add(r["neighbour"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = range(0, len(x), 20)
+    s = u[asked] @ u.T
+    s[np.arange(len(asked)), asked] = -2
+    top = np.argsort(-s, axis=1)[:, :10]
+    assert np.mean([len(got[f"v{i:05}"] & {f"v{j:05}" for j in t}) / 10 for i, t in zip(asked, top)]) >= 0.9
+
+
 def test_neighbours_cases(spark):
     a, b = [1.0] + [0.0] * 63, [0.0, 1.0] + [0.0] * 62
     rows = [(f"c{i:02}", [2.0 * y for y in a] if i % 2 else a) for i in range(30)] + [("z", b), ("n", None), ("s", [1.0]), ("0", [0.0] * 64), ("x", [float("nan")] + a[1:]), ("y", [None] + a[1:]), ("c00", a), (None, a)]
