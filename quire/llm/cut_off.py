@@ -2,7 +2,8 @@
 
 A backward character n-gram model over the whole corpus: for a context (the last k characters, k = 1 .. 8)
 it has how often that context occurs and how often a line ends right after it (for values that stop without
-a closing sign) or a sentence ends after it (for values with a mark added after the cut). Each value's final
+a closing sign) or a sentence ends after it (for values with a mark added after the cut) or a
+clause ends after it (for items and verses, whose phrases end a clause elsewhere). Each value's final
 context is compared: the log-odds of an end against a continuation, interpolated from short to long contexts
 and without the value's own evidence, are held against a threshold per script and column.
 
@@ -10,7 +11,7 @@ Contexts are counted only where some value ends in them. That set is a bitmap of
 aggregation; a false hit in it only costs a count nobody asks for. So counts cover every position of every
 text, and what is shuffled is bounded by the contexts asked for.
 
-Endings that are complete by shape (sentence signs, lists, verses, signatures, notes, brackets) aren't cut.
+Endings that are complete by shape (sentence signs, signatures, notes, brackets) aren't cut.
 
 Defined results: null, empty and blank texts aren't cut; copies of a text get the same answer and don't
 support each other; a null source forms a group of its own in the report; an empty table gives empty results.
@@ -30,25 +31,35 @@ from quire.llm.blocks import blocks, code_points
 
 ORDERS = (1, 2, 3, 4, 6, 8)
 BITS = 24
+SHAPED = -3.5  # in a list or a verse a line may end anywhere, so more must speak for a continuation
 #: Log-odds of an end against a continuation below which a value is cut, by script and kind of ending. A mark
 #: that follows more than one clause of a line is the deliverer's; one clause alone in its line may trail off by style.
-THRESHOLD = {("ideographic", "bare"): -0.5, ("alphabetic", "bare"): -0.5, ("ideographic", "marked"): 20.0, ("alphabetic", "marked"): 20.0, ("ideographic", "trailing"): -1.6, ("alphabetic", "trailing"): -1.6}
+THRESHOLD = {("ideographic", "bare"): -0.5, ("alphabetic", "bare"): -0.5, ("ideographic", "shaped"): SHAPED, ("alphabetic", "shaped"): SHAPED, ("ideographic", "marked"): 20.0, ("alphabetic", "marked"): 20.0, ("ideographic", "trailing"): -1.6, ("alphabetic", "trailing"): -1.6}
 PRIOR = 4.0  # weight of the shorter context's estimate
 # Signs and shapes of endings.
 TERMINAL = "。．.!！?？…”\"』」»’"
 SENTENCE_END = "。．.!！?？；;”』」»\n"
+CLAUSE_END = SENTENCE_END + "，、,：:)）"
 INVISIBLE = re.compile("[­​-‏⁠﻿‪-‮]+")
 MARK = re.compile(r"\s*(?:\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|（…+）|【…+】|…+|\.{3,}|。{3,})$")
 BROKEN = re.compile("�+$")
 CLOSED = re.compile(r"[。．.!！?？”』」»\"】〕\]）)*_=~—》]$")
 LIST = re.compile(r"^\s*(?:[*•·□■○●◦▪✓☐+\-–]\s|[(（]?\d{1,3}[.)、）](?!\d)|[a-z]\)\s|[①-⑳])")
 SIGNED = re.compile(r"^\s*(?:(?:[—–―/~]|--)\s*|(?:signed|signé|gezeichnet|gez|firmado|подписано|署名|记)\s*[:：.]\s*)[^，。,;；!?！？]{1,40}$")
+HEADING = re.compile(r"^\s*(?:#{1,6}\s|第\s?[0-9０-９零〇一二三四五六七八九十百千两]+\s?[章节回卷篇部集]|(?:chapter|chapitre|kapitel|cap[ií]tulo|глава)\b|\d+(?:\.\d+)+\s)", re.I)
+SIGN = re.compile(r"[。！？!?；，、,;：:]|\.\s|[.…”』」»\")）\]】〕]$")
+VERSE = 2  # lines above the last one that must look like verse too
 CLAUSE = re.compile(r"[。！？!?；，、,;：:]|\.\s")
 NOTE = re.compile(r"^\s*(?:〔[^，。]*|(?:No|no|Nr|fig|Fig|p|pp|S|vol|cf|см|стр|рис|núm|n°)\.?\s*№?\s*\d[\d.–-]*|(?:附|图|注|见|参见|参看|第)[：:]?[^，。]{0,12}\d+|#\s*\d+|№\s*\d+|附[：:].*)$")
 
 
+def _verse_line(line: str) -> bool:
+    line = line.strip()
+    return 0 < len(line) <= 80 and not (HEADING.match(line) or NOTE.match(line) or LIST.match(line) or SIGN.search(line))
+
+
 def _look(text: str | None) -> tuple[str, str]:
-    """(kind, stem): kind is whole, broken, bare, marked or trailing (a mark after a clause alone in its line); stem is the text before a mark."""
+    """(kind, stem): kind is whole, broken, bare, shaped (bare, in a list or a verse), marked or trailing (a mark after a clause alone in its line); stem is the text before a mark."""
     t = INVISIBLE.sub("", text or "").rstrip()
     if not t:
         return "whole", ""
@@ -63,15 +74,14 @@ def _look(text: str | None) -> tuple[str, str]:
         return ("trailing" if alone else "marked"), stem
     if CLOSED.search(t):
         return "whole", t
-    lines = t.rsplit("\n", 2)
+    lines = t.rsplit("\n", VERSE + 1)
     last = lines[-1]
-    if LIST.match(last) or SIGNED.match(last) or NOTE.match(last):
+    if SIGNED.match(last) or NOTE.match(last):
         return "whole", t
-    inner = re.search(r"[。！？!?；，、,;：]|\.\s|\.$", last)
-    if not inner and len(lines) > 1 and len(last) <= 80:
-        above = lines[-2].rstrip()
-        if above and not re.search(r"[。．.!！?？”』」»\"，、,;；：:…)）\]】〕]$", above) and not NOTE.match(above) and not LIST.match(above):
-            return "whole", t  # a verse: lines without signs
+    if LIST.match(last):
+        return "shaped", t
+    if len(lines) > VERSE and all(map(_verse_line, lines[-VERSE - 1 :])):
+        return "shaped", t  # a verse: several lines without signs
     return "bare", t
 
 
@@ -92,7 +102,7 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, source, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "source", "text"))):
             kind, stem = _look(text)
             contexts, script, key = None, None, None
-            if kind in ("bare", "marked", "trailing") and stem:
+            if kind in ("bare", "shaped", "marked", "trailing") and stem:
                 flat, _ = code_points([stem[-max(ORDERS) :]])
                 contexts = [int(_hash(flat, k)[-1].astype(np.int64)) for k in ORDERS if len(flat) >= k]
                 script = "ideographic" if ord(stem[-1]) >= 0x2E80 or (len(stem) > 1 and ord(stem[-2]) >= 0x2E80) else "alphabetic"
@@ -103,32 +113,33 @@ def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counts(shared):
-    """Occurrences, line ends and sentence ends of the contexts asked for; summed within the partition."""
+    """Occurrences, and ends of lines, sentences and clauses, of the contexts asked for; summed within the partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.frombuffer(shared.value, np.uint64)
         held: list[np.ndarray] = []
 
         def summed(parts: list[np.ndarray]) -> np.ndarray:
-            whole = np.concatenate(parts) if parts else np.zeros((0, 4), np.int64)
+            whole = np.concatenate(parts) if parts else np.zeros((0, 5), np.int64)
             keys, where = np.unique(whole[:, 0], return_inverse=True)
-            return np.column_stack([keys, *(np.bincount(where, whole[:, i], len(keys)).astype(np.int64) for i in (1, 2, 3))])
+            return np.column_stack([keys, *(np.bincount(where, whole[:, i], len(keys)).astype(np.int64) for i in (1, 2, 3, 4))])
 
         for b in blocks(batches, "text"):
             texts = [INVISIBLE.sub("", t).rstrip() + "\n\0" for t in b.column("text").to_pylist() if t]
             flat, _ = code_points(texts)
             line_end = flat == 10
             sentence = np.isin(flat, np.array([ord(c) for c in SENTENCE_END], np.uint32))
+            clause = np.isin(flat, np.array([ord(c) for c in CLAUSE_END], np.uint32))
             for k in ORDERS:
                 h = _hash(flat, k)[:-1] if len(flat) > k else np.zeros(0, np.uint64)
                 slot = h >> np.uint64(64 - BITS)
                 ask = np.flatnonzero(bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
                 after = ask + k
-                held.append(np.column_stack([h[ask].astype(np.int64), np.ones(len(ask), np.int64), line_end[after], sentence[after]]))
+                held.append(np.column_stack([h[ask].astype(np.int64), np.ones(len(ask), np.int64), line_end[after], sentence[after], clause[after]]))
             if sum(map(len, held)) > 500_000:
                 held[:] = [summed(held)]
         done = summed(held)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(done[:, i])) for i in range(4)], names=["context", "n", "line_ends", "sentence_ends"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(done[:, i])) for i in range(5)], names=["context", "n", "line_ends", "sentence_ends", "clause_ends"])
 
     return run
 
@@ -148,14 +159,14 @@ def cut_off(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     got = words.toPandas()  # at most 2^(BITS - 6) rows, however many texts there are
     bitmap[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(bitmap.tobytes())
-    counts = rows.select("text").mapInArrow(_counts(shared), "context long, n long, line_ends long, sentence_ends long").groupBy("context").agg(F.sum("n").alias("n"), F.sum("line_ends").alias("line_ends"), F.sum("sentence_ends").alias("sentence_ends"))
+    counts = rows.select("text").mapInArrow(_counts(shared), "context long, n long, line_ends long, sentence_ends long, clause_ends long").groupBy("context").agg(F.sum("n").alias("n"), F.sum("line_ends").alias("line_ends"), F.sum("sentence_ends").alias("sentence_ends"), F.sum("clause_ends").alias("clause_ends"))
     open_ = ends.where(F.col("contexts").isNotNull())
     copies = open_.groupBy("key", "kind").agg(F.count("*").alias("copies"))
     each = open_.join(copies, ["key", "kind"]).select("doc_id", "kind", "script", "copies", F.posexplode("contexts").alias("k", "context"))
     met = each.join(counts, "context")
-    own = F.when(F.col("kind") == "bare", F.col("copies")).otherwise(F.lit(0))
+    own = F.when(F.col("kind").isin("bare", "shaped"), F.col("copies")).otherwise(F.lit(0))
     n = F.greatest(F.col("n") - F.col("copies"), F.lit(0))
-    hits = F.greatest(F.when(F.col("kind") == "bare", F.col("line_ends")).otherwise(F.col("sentence_ends")) - own, F.lit(0))
+    hits = F.greatest(F.when(F.col("kind") == "bare", F.col("line_ends")).when(F.col("kind") == "shaped", F.col("clause_ends")).otherwise(F.col("sentence_ends")) - own, F.lit(0))
     per = met.groupBy("doc_id", "kind", "script").agg(F.array_sort(F.collect_list(F.struct("k", n.cast("double").alias("n"), hits.cast("double").alias("hits")))).alias("chain"))
     p = F.expr(f"aggregate(chain, cast(0.02 as double), (p, x) -> (x.hits + {PRIOR} * p) / (x.n + {PRIOR}))")
     scored = per.select("doc_id", F.log(p / (1 - F.least(p, F.lit(1 - 1e-9)))).alias("log_odds"), F.coalesce(*(F.when((F.col("script") == s) & (F.col("kind") == k), F.lit(t)) for (s, k), t in THRESHOLD.items())).alias("least"))

@@ -134,6 +134,14 @@ def test_cut_off(spark):
     assert C.cut_off(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_cut_off_after_headings_in_lists_and_verses(spark):
+    whole = "The boat had already left the harbour. Nobody said a word about the letter. The rain came back at night."
+    cut = [whole[:n] for n in (34, 24, 10, 17)]  # each at another place: equal endings support each other
+    docs = [(i, whole) for i in range(40)] + [(100, f"{whole}\n## 2.1 salt making\n{cut[0]}"), (101, f"{whole}\n- {cut[1]}"), (102, f"five spaces wide\n{cut[2]}"), (103, f"already left\nabout the letter\ncame back\n{cut[3]}"), (104, f"{whole}\nalready left the harbour\nabout the letter\ncame back at night"), (105, f"{whole}\n- about the letter")]
+    got = C.cut_off(spark.createDataFrame([(*d, "s") for d in docs], "doc_id long, text string, source string"))
+    assert {r["doc_id"] for r in got.where("is_cut").collect()} == {100, 101, 102, 103}
+
+
 def labelled():
     return [tuple(r) for r in __import__("duckdb").sql("select lang, text from '/root/testdata/sf0.01/documents.parquet' where lang in ('zh','en','fr','de','es','ru','ja') and length(text) between 40 and 4000 order by doc_id").fetchall()]
 
