@@ -2,7 +2,7 @@
 
 Seeds: every n-gram of a normalised passage (letters and digits only, case and width folded). One pass over
 the corpus counts in how many documents each seed occurs; a seed's weight is its rarity. A second pass takes
-as candidates the documents that hold a share of a passage's seed weight, and aligns each with the passage
+as candidates the documents that hold a share of a passage's seeds, or of their weight, and aligns each with the passage
 (Smith-Waterman on characters, a row of the matrix at a time): the best stretch, then a second one before or
 after it, in the passage's order. A document is reported when the stretches cover enough of the passage.
 
@@ -28,7 +28,7 @@ from quire.llm.blocks import blocks, code_points
 
 WIDE, NARROW = 6, 16  # characters of a seed in ideographic and in alphabetic text
 GROUP = 2_000_000
-CANDIDATE = 0.15  # share of a passage's seed weight
+CANDIDATE = 0.15  # share of a passage's seeds, or of their weight
 COVERED = 0.5  # share of a passage within the aligned stretches
 STRETCH = 0.12  # a stretch counts from this share of the passage on
 MATCH, MISMATCH, GAP = 2, -3, -3
@@ -181,6 +181,7 @@ def _candidates(shared):
         total = np.zeros(len(p.ids))
         lengths = np.diff(p.begin)
         np.add.at(total, p.item, np.repeat(p.weights, lengths))
+        seeds_of = np.bincount(p.item, minlength=len(p.ids))
         for b in blocks(batches, "text"):
             ids = b.column("doc_id").to_pylist()
             flat, bounds = code_points([normalised(t) for t in b.column("text").to_pylist()])
@@ -193,7 +194,9 @@ def _candidates(shared):
             key = np.repeat(once[0], n) * len(p.ids) + p.item[entry]
             pairs, back = np.unique(key, return_inverse=True)
             held = np.bincount(back, np.repeat(p.weights[once[1]], n), len(pairs))
-            chosen = [divmod(int(k), len(p.ids)) for k in (pairs[held >= CANDIDATE * total[pairs % len(p.ids)]] if len(pairs) else ())]
+            item = pairs % len(p.ids)  # a part that many documents hold weighs little, but is as much of the passage
+            enough = (held >= CANDIDATE * total[item]) | (np.bincount(back, minlength=len(pairs)) >= CANDIDATE * seeds_of[item])
+            chosen = [divmod(int(k), len(p.ids)) for k in pairs[enough]]
             covered = coverage([(p.texts[i], flat[bounds[d] : bounds[d + 1]]) for d, i in chosen])
             out = [(ids[d], p.ids[i], c) for (d, i), c in zip(chosen, covered) if c >= COVERED]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "item_id", "covered"])

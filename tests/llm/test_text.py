@@ -124,6 +124,14 @@ def test_leaks(spark):
     assert L.leaks(df.limit(0), items).count() == 0 and L.leaks(df, items.limit(0)).count() == 0
 
 
+def test_leaks_of_a_part_that_many_documents_hold(spark):
+    g = random.Random(4)
+    words = ["".join(g.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(60)]
+    docs = [(i, f"number {i} " + " ".join(words[:32])) for i in range(400)] + [(i, f"{i} other") for i in range(400, 600)]
+    items = spark.createDataFrame([(7, " ".join(words))], "item_id long, passage string")
+    assert L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).count() == 400
+
+
 def test_cut_off(spark):
     whole = "The boat had already left the harbour. Nobody said a word about the letter. The rain came back at night."
     docs = [(i, whole, "good") for i in range(40)] + [(100, whole[:-20], "bad"), (101, whole[:-9] + "…", "bad"), (102, "所以我们�", "bad"), (103, None, "bad"), (104, "", None), (105, "Things:\n* boat\n* letter", "good"), (106, "It rained.\n— Anna", "good"), (107, "  \n", "good")]
