@@ -112,67 +112,88 @@ def _document_counts(shared):
 
 
 PAIRS = 48  # alignments that advance together
+CELLS = 1 << 20  # of a row of all these
+WINDOW = 1 << 16  # characters of a text that are aligned at once
 
 
-def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, int]]:
-    """The best local alignment of each pair (a, b): (a from, a to, b from, b to), zeros where nothing matches.
+def _ends(pairs: list[tuple[np.ndarray, np.ndarray]], anchored: bool = False) -> list[tuple[int, int, int]]:
+    """(score, a to, b to) of the best local alignment of each pair (a, b), zeros where nothing matches.
 
-    All pairs advance by a row of their matrix at a time. A cell holds its score above 34 bits of its start."""
-    out = [(0, 0, 0, 0)] * len(pairs)
+    All pairs advance by a row of their matrix at a time. Anchored: only of alignments that begin where both begin."""
+    out = [(0, 0, 0)] * len(pairs)
     order = sorted((i for i, (a, b) in enumerate(pairs) if len(a) and len(b)), key=lambda i: len(pairs[i][1]))
-    unit = 1 << 34
-    for k in range(0, len(order), PAIRS):
-        part = order[k : k + PAIRS]
+    k = 0
+    while k < len(order):
+        n = PAIRS
+        while n > 1 and len(pairs[order[min(k + n, len(order)) - 1]][1]) * n > CELLS:
+            n //= 2
+        part = order[k : k + n]
+        k += n
         rows, width = max(len(pairs[i][0]) for i in part), max(len(pairs[i][1]) for i in part)
         a = np.full((len(part), rows), 0xFFFFFFFF, np.uint32)
         b = np.full((len(part), width), 0xFFFFFFFE, np.uint32)
         for r, i in enumerate(part):
             a[r, : len(pairs[i][0])], b[r, : len(pairs[i][1])] = pairs[i]
-        cols = np.arange(width, dtype=np.int64)
-        slope = cols * (-GAP * unit)
-        above = np.full((len(part), width + 1), -1, np.int64)  # the row above, shifted by one; -1: nothing to continue
-        best, best_row, best_col = np.full(len(part), -1, np.int64), np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
+        kind = np.int32 if 3 * width + 2 * rows < 1 << 30 else np.int64
+        never = kind(-(1 << 30)) if kind is np.int32 else kind(-(1 << 60))
+        slope = np.arange(width, dtype=kind) * kind(-GAP)
+        above = np.zeros((len(part), width + 1), kind)  # the row above, shifted by one
+        if anchored:
+            above[:, 1:] = never
+        best, best_row, best_col = np.zeros(len(part), kind), np.zeros(len(part), np.int64), np.zeros(len(part), np.int64)
         each = np.arange(len(part))
         for i in range(rows):
-            cell = np.where(above[:, :-1] >= unit, above[:, :-1], (i << 17) | cols)
-            cell += np.where(b == a[:, i : i + 1], MATCH * unit, MISMATCH * unit)
-            np.maximum(cell, above[:, 1:] + GAP * unit, out=cell)
+            cell = np.where(b == a[:, i : i + 1], kind(MATCH), kind(MISMATCH))
+            cell += above[:, :-1]
+            np.maximum(cell, above[:, 1:] + kind(GAP), out=cell)
             cell += slope
             np.maximum.accumulate(cell, axis=1, out=cell)
             cell -= slope
-            cell[cell < unit] = -1
+            if anchored:
+                cell[cell <= 0] = never // 2
+                above[:, 0] = never // 2
+            else:
+                np.maximum(cell, 0, out=cell)
             j = cell.argmax(1)
             top = cell[each, j]
             more = top > best
             best[more], best_row[more], best_col[more] = top[more], i, j[more]
             above[:, 1:] = cell
         for r, i in enumerate(part):
-            if best[r] >= unit:
-                start = int(best[r]) & (unit - 1)
-                out[i] = (start >> 17, int(best_row[r]) + 1, start & 0x1FFFF, int(best_col[r]) + 1)
+            if best[r] > 0:
+                out[i] = (int(best[r]), int(best_row[r]) + 1, int(best_col[r]) + 1)
     return out
 
 
+def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, int]]:
+    """The best local alignment of each pair (a, b): (a from, a to, b from, b to), zeros where nothing matches.
+
+    A long text goes in windows that overlap by twice a, more than an alignment with a can take of it. Where the
+    best one begins is found from its end, backward."""
+    parts = []
+    for n, (a, b) in enumerate(pairs):
+        size = max(WINDOW, 4 * len(a))
+        parts += [(n, i, b[i : i + size]) for i in range(0, max(len(b) - 2 * len(a), 1), size - 2 * len(a))]
+    ends = [(0, 0, 0)] * len(pairs)
+    for (n, i, _), (score, a1, b1) in zip(parts, _ends([(pairs[n][0], b) for n, _, b in parts])):
+        if score > ends[n][0]:
+            ends[n] = (score, a1, i + b1)
+    back = _ends([(a[:a1][::-1], b[max(0, b1 - 2 * a1) : b1][::-1]) for (a, b), (_, a1, b1) in zip(pairs, ends)], anchored=True)
+    return [(a1 - n, a1, b1 - m, b1) for (_, a1, b1), (_, n, m) in zip(ends, back)]
+
+
 def coverage(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
     """For each (passage, text): the share of the passage within the best stretch and a second one before or after it."""
-    parts = []  # a text longer than a cell's start can say goes in windows that overlap by twice the passage
-    for n, (p, t) in enumerate(pairs):
-        step = max((1 << 16) - 2 * len(p), 1)
-        parts += [(n, p, t[i : i + (1 << 16)]) for i in range(0, len(t), step)] if len(t) >= 1 << 17 else [(n, p, t)]
-    first = align([(p, t) for _, p, t in parts])
+    first = align(pairs)
     rest = []
-    for k, ((_, p, t), (a0, a1, b0, b1)) in enumerate(zip(parts, first)):
+    for n, ((p, t), (a0, a1, b0, b1)) in enumerate(zip(pairs, first)):
         if STRETCH * len(p) <= a1 - a0 < 0.9 * len(p):
-            rest += [(k, a, b) for a, b in ((p[:a0], t[:b0]), (p[a1:], t[b1:])) if len(a) >= STRETCH * len(p)]
-    second = dict.fromkeys(range(len(parts)), 0)
-    for (k, _, _), (a0, a1, _, _) in zip(rest, align([(a, b) for _, a, b in rest])):
-        if a1 - a0 >= STRETCH * len(parts[k][1]):
-            second[k] = max(second[k], a1 - a0)
-    out = [0.0] * len(pairs)
-    for k, ((n, p, _), (a0, a1, _, _)) in enumerate(zip(parts, first)):
-        if a1 - a0 >= STRETCH * len(p):
-            out[n] = max(out[n], (a1 - a0 + second[k]) / len(p))
-    return out
+            rest += [(n, a, b) for a, b in ((p[:a0], t[:b0]), (p[a1:], t[b1:])) if len(a) >= STRETCH * len(p)]
+    second = [0] * len(pairs)
+    for (n, _, _), (a0, a1, _, _) in zip(rest, align([(a, b) for _, a, b in rest])):
+        if a1 - a0 >= STRETCH * len(pairs[n][0]):
+            second[n] = max(second[n], a1 - a0)
+    return [(a1 - a0 + more) / len(p) if a1 - a0 >= STRETCH * len(p) else 0.0 for (p, _), (a0, a1, _, _), more in zip(pairs, first, second)]
 
 
 def _candidates(shared):

@@ -132,6 +132,15 @@ def test_leaks_of_a_part_that_many_documents_hold(spark):
     assert L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).count() == 400
 
 
+def test_coverage_of_stretches_far_apart():
+    g = np.random.default_rng(3)
+    p = g.integers(97, 123, 400).astype(np.uint32)
+    for gap in (1_000, 126_000, 140_000, 400_000):
+        t = np.concatenate([p[:120], g.integers(65, 91, gap).astype(np.uint32), p[200:320]])
+        assert 0.59 < L.coverage([(p, t)])[0] < 0.62
+    assert L.align([(p, np.concatenate([t[:70_000], p, t]))]) == [(0, 400, 70_000, 70_400)]
+
+
 def test_cut_off(spark):
     whole = "The boat had already left the harbour. Nobody said a word about the letter. The rain came back at night."
     docs = [(i, whole, "good") for i in range(40)] + [(100, whole[:-20], "bad"), (101, whole[:-9] + "…", "bad"), (102, "所以我们�", "bad"), (103, None, "bad"), (104, "", None), (105, "Things:\n* boat\n* letter", "good"), (106, "It rained.\n— Anna", "good"), (107, "  \n", "good")]
