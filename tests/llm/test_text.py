@@ -132,6 +132,21 @@ def test_leaks_of_a_part_that_many_documents_hold(spark):
     assert L.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).count() == 400
 
 
+@pytest.mark.parametrize(("true", "wrong"), [("utf-8", "gb18030"), ("gb18030", "big5")])
+def test_a_third_of_all_rows_garbled(spark, true, wrong):
+    rows = __import__("duckdb").sql("select distinct content from '/root/testdata/sf0.1/chunks.parquet' where length(content) between 60 and 500 order by content").fetchall()
+    rows = [r for r in rows if sum("\u4e00" <= c <= "\u9fff" for c in r[0]) > 0.75 * len(r[0])][:6000]
+    texts, garbled = [], {}
+    for i, (t,) in enumerate(rows):
+        bad = t.encode(true, "ignore").decode(wrong, "ignore")
+        if i % 3 == 0 and len(bad) > 30:
+            garbled[str(i)] = t
+        texts.append((str(i), bad if str(i) in garbled else t))
+    assert 0.3 < len(garbled) / len(texts)
+    got = {r["id"] for r in M.repair_encoding(spark.createDataFrame(texts, "id string, text string").repartition(8), "id", "text").where("affected").collect()}
+    assert len(got & set(garbled)) > 0.9 * len(garbled) and len(got - set(garbled)) <= 0.02 * len(texts)
+
+
 def test_coverage_of_stretches_far_apart():
     g = np.random.default_rng(3)
     p = g.integers(97, 123, 400).astype(np.uint32)
