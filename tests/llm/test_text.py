@@ -166,6 +166,22 @@ def test_cut_off(spark):
     assert C.cut_off(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_cut_off_learns_what_ends_a_line(spark):
+    """Shelf marks are no shape that the rules know: the model sees that lines end after such numbers."""
+    docs = [(i, f"The boat left the harbour before noon {i}. Nobody said a word.\nshelf {1000 + 7 * i}", "s", "en") for i in range(60)]
+    docs += [(100 + i, "Nobody said a word. " + t, "s", " EN ") for i, t in enumerate(("The boat left the har", "The boat le", "Nobody sai"))]
+    docs += [(200, "Nobody said a word.\nshelf 1777", "s", None), (200, "Nobody said a word.\nshelf 1777", "s", None)]
+    got = C.cut_off(spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")).collect()
+    assert len(got) == len(docs)
+    assert {r["doc_id"] for r in got if r["is_cut"]} == {100, 101, 102}
+    assert all(r["log_odds"] is not None and r["threshold"] is not None for r in got)
+
+
+def test_cut_off_keeps_the_type_of_ids(spark):
+    got = C.cut_off(spark.createDataFrame([("a", "It rained. The boat le", None)], "doc_id string, text string, source string")).collect()
+    assert [(r["doc_id"], r["source"]) for r in got] == [("a", None)]
+
+
 def test_cut_off_after_headings_in_lists_and_verses(spark):
     whole = "The boat had already left the harbour. Nobody said a word about the letter. The rain came back at night."
     cut = [whole[:n] for n in (34, 24, 10, 17)]  # each at another place: equal endings support each other
