@@ -1,16 +1,19 @@
 """Evaluation passages in a training corpus.
 
-Seeds: every n-gram of a normalised passage (letters and digits only, case and width folded). One pass over
-the corpus counts in how many documents each seed occurs; a seed's weight is its rarity. A second pass takes
-as candidates the documents that hold a share of a passage's seeds, or of their weight, and aligns each with the passage
-(Smith-Waterman on characters, a row of the matrix at a time): the best stretch, then a second one before or
-after it, in the passage's order. A document is reported when the stretches cover enough of the passage.
-
-Neither pass shuffles texts: what moves is one count per seed and partition. The passages are broadcast in
-groups whose seeds number at most ``GROUP``, so the size is bounded however many items there are.
+Seeds: every n-gram of a normalised passage (letters and digits only, case and width folded) that is rare among
+the items; what more than ``COMMON`` of them share doesn't tell one from another. One pass over the corpus joins
+the n-grams of the documents with the seeds. Hits of a document and an item on near diagonals form a band; a
+band that is dense enough is aligned (Smith-Waterman on characters, a row of the matrix at a time, within the
+band's range and a margin), whatever the length of the text around it. A piece that an edit splits off goes on within the
+band. A document is reported when its best stretch, or its two best ones, wherever in the text they stand, cover
+enough of the passage.
+
+Texts aren't shuffled. The passages are the small side: they are broadcast in groups whose seeds number at most
+``GROUP``, so the size is bounded however many items there are. How many documents hold a seed doesn't matter, so
+a passage that a third of all documents hold is found in each.
 
 Defined results: null or empty texts hold nothing; a null or empty passage is held by none; items with equal
-passages are each reported; repeated rows count once; empty tables give an empty table.
+passages are each reported; repeated rows count once; empty tables give an empty table; ids keep their type.
 """
 
 from __future__ import annotations
@@ -25,12 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.blocks import blocks, code_points
+from quire.session import small_side
 
 WIDE, NARROW = 6, 16  # characters of a seed in ideographic and in alphabetic text
 GROUP = 2_000_000
-CANDIDATE = 0.15  # share of a passage's seeds, or of their weight
-COVERED = 0.5  # share of a passage within the aligned stretches
+COMMON = 50  # items; an item of which most seeds are common keeps them
+COVERED = 0.42  # share of a passage within the aligned stretches; an edit near an end takes a few characters from the half
 STRETCH = 0.12  # a stretch counts from this share of the passage on
+ALIKE = 0.4  # score of a stretch against the best one of its length; one changed word in ten leaves about 0.75
+BAND = 16  # difference of neighbouring diagonals of one band
+HITS, DENSE = 3, 0.08  # seeds a band has at least, and for each character of the passage it spans
+BEYOND = 12  # characters that a stretch may go on after its last seed, besides a seed's length
 MATCH, MISMATCH, GAP = 2, -3, -3
 NOT_TEXT = re.compile(r"[\W_]+")
 
@@ -63,19 +71,26 @@ def _grams(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Passages:
-    """The seeds of a group of items: sorted distinct hashes, and for each the items it belongs to."""
+    """The seeds of a group of items: sorted distinct hashes, and for each the items and places it belongs to."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[object, str]]):
         self.ids = [i for i, _ in items]
         self.texts = [np.frombuffer(p.encode("utf-32-le"), np.uint32) for _, p in items]
+        self.sizes = np.array([len(t) for t in self.texts], np.int64)
         flat, bounds = code_points([p for _, p in items])
         h, at = _grams(flat, bounds)
         item = np.searchsorted(bounds, at, "right") - 1
-        pairs = np.unique(np.stack([h, item.astype(np.uint64)]), axis=1)
-        self.hashes, first = np.unique(pairs[0], return_index=True)
-        self.begin = np.append(first, pairs.shape[1])
-        self.item = pairs[1].astype(np.int64)
-        self.weights = np.ones(len(self.hashes))
+        held = np.unique(np.stack([h, item.astype(np.uint64)]), axis=1)[0]
+        seeds, n = np.unique(held, return_counts=True)
+        rare = n[np.searchsorted(seeds, h)] <= COMMON
+        few = np.bincount(item, rare, len(items)) < 0.5 * np.bincount(item, minlength=len(items))
+        keep = rare | few[item]
+        h, at, item = h[keep], at[keep], item[keep]
+        order = np.lexsort((at, h))
+        h, at, item = h[order], at[order], item[order]
+        self.hashes, self.begin = np.unique(h, return_index=True)
+        self.begin = np.append(self.begin, len(h))
+        self.item, self.at, self.width = item, at - bounds[item], np.where(flat[at] >= 0x2E80, WIDE, NARROW)
 
     def found(self, h: np.ndarray) -> np.ndarray:
         """Index of each hash among the seeds, or -1."""
@@ -85,8 +100,8 @@ class Passages:
         return np.where(self.hashes[i] == h, i, -1)
 
 
-def _prefilter(p: Passages, h: np.ndarray) -> np.ndarray:
-    """Places whose hash may be a seed: a table of low bits first, then the search."""
+def _prefilter(p: Passages, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose hash is a seed, and the seeds: a table of leading bits first, then the search."""
     bits = np.zeros(1 << 20, bool)
     bits[(p.hashes >> np.uint64(44)).astype(np.int64)] = True
     maybe = np.flatnonzero(bits[(h >> np.uint64(44)).astype(np.int64)])
@@ -94,25 +109,8 @@ def _prefilter(p: Passages, h: np.ndarray) -> np.ndarray:
     return maybe[seeds >= 0], seeds[seeds >= 0]
 
 
-def _document_counts(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p: Passages = shared.value
-        df = np.zeros(len(p.hashes), np.int64)
-        for b in blocks(batches, "text"):
-            flat, bounds = code_points([normalised(t) for t in b.column("text").to_pylist()])
-            h, at = _grams(flat, bounds)
-            ok, seeds = _prefilter(p, h)
-            docs = np.searchsorted(bounds, at[ok], "right") - 1
-            once = np.unique(np.stack([docs, seeds]), axis=1)
-            df += np.bincount(once[1], minlength=len(df))
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["seed", "df"])
-
-    return run
-
-
-PAIRS = 48  # alignments that advance together
-CELLS = 1 << 20  # of a row of all these
+PAIRS = 512  # alignments that advance together
+CELLS = 1 << 17  # of a row of all these
 WINDOW = 1 << 16  # characters of a text that are aligned at once
 
 
@@ -165,8 +163,8 @@ def _ends(pairs: list[tuple[np.ndarray, np.ndarray]], anchored: bool = False) ->
     return out
 
 
-def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, int]]:
-    """The best local alignment of each pair (a, b): (a from, a to, b from, b to), zeros where nothing matches.
+def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, int, int]]:
+    """The best local alignment of each pair (a, b): (a from, a to, b from, b to, score), zeros where nothing matches.
 
     A long text goes in windows that overlap by twice a, more than an alignment with a can take of it. Where the
     best one begins is found from its end, backward."""
@@ -179,48 +177,89 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, in
         if score > ends[n][0]:
             ends[n] = (score, a1, i + b1)
     back = _ends([(a[:a1][::-1], b[max(0, b1 - 2 * a1) : b1][::-1]) for (a, b), (_, a1, b1) in zip(pairs, ends)], anchored=True)
-    return [(a1 - n, a1, b1 - m, b1) for (_, a1, b1), (_, n, m) in zip(ends, back)]
-
-
-def coverage(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
-    """For each (passage, text): the share of the passage within the best stretch and a second one before or after it."""
-    first = align(pairs)
-    rest = []
-    for n, ((p, t), (a0, a1, b0, b1)) in enumerate(zip(pairs, first)):
-        if STRETCH * len(p) <= a1 - a0 < 0.9 * len(p):
-            rest += [(n, a, b) for a, b in ((p[:a0], t[:b0]), (p[a1:], t[b1:])) if len(a) >= STRETCH * len(p)]
-    second = [0] * len(pairs)
-    for (n, _, _), (a0, a1, _, _) in zip(rest, align([(a, b) for _, a, b in rest])):
-        if a1 - a0 >= STRETCH * len(pairs[n][0]):
-            second[n] = max(second[n], a1 - a0)
-    return [(a1 - a0 + more) / len(p) if a1 - a0 >= STRETCH * len(p) else 0.0 for (p, _), (a0, a1, _, _), more in zip(pairs, first, second)]
+    return [(a1 - n, a1, b1 - m, b1, score) for (score, a1, b1), (_, n, m) in zip(ends, back)]
+
+
+def bands(p: Passages, flat: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], list[tuple[int, int, int, int]]]:
+    """(passage from, to, text from, to) of the bands of each (document, item) that could cover enough of it."""
+    h, at = _grams(flat, bounds)
+    ok, seeds = _prefilter(p, h)
+    n = np.diff(p.begin)[seeds]
+    entry = np.repeat(p.begin[seeds] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    place = np.repeat(at[ok], n)
+    doc = np.searchsorted(bounds, place, "right") - 1
+    item, a, b = p.item[entry], p.at[entry], place - bounds[doc]
+    key = doc * len(p.ids) + item
+    order = np.lexsort((b - a, key))
+    key, a, b, width = key[order], a[order], b[order], p.width[entry][order]
+    first = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(b - a, prepend=0) > BAND))
+    if not len(first):
+        return {}
+    a0, a1 = np.minimum.reduceat(a, first), np.maximum.reduceat(a + width, first)
+    b0, b1 = np.minimum.reduceat(b, first), np.maximum.reduceat(b + width, first)
+    hits = np.diff(np.append(first, len(key)))
+    key, reach = key[first], a1 - a0 + 2 * (np.maximum.reduceat(width, first) + BEYOND)
+    size = p.sizes[key % len(p.ids)]
+    dense = (hits >= np.minimum(HITS, size - width[first] + 1)) & (hits >= DENSE * (a1 - a0)) & (reach >= STRETCH * size)
+    out: dict[tuple[int, int], list] = {}
+    for i in np.flatnonzero(dense):
+        out.setdefault(divmod(int(key[i]), len(p.ids)), []).append((int(reach[i]), int(a0[i]), int(a1[i]), int(b0[i]), int(b1[i])))
+    best = {k: sum(sorted((r for r, *_ in v), reverse=True)[:2]) for k, v in out.items()}
+    return {k: [x[1:] for x in v] for k, v in out.items() if best[k] >= COVERED * p.sizes[k[1]]}
+
+
+def stretches(tasks: list[tuple[np.ndarray, np.ndarray, tuple[int, int, int, int]]]) -> list[tuple[int, int, int, int]]:
+    """For each (passage, text, band) the aligned stretch in it: (passage from, to, text from, to)."""
+    windows = []
+    for p, t, (a0, a1, b0, b1) in tasks:
+        m = 48 + len(p) // 8
+        windows.append((max(0, a0 - m), min(len(p), a1 + m), max(0, b0 - m), min(len(t), b1 + m)))
+    got, scores = [], []
+    for (w0, _, v0, _), (a0, a1, b0, b1, score) in zip(windows, align([(p[w0:w1], t[v0:v1]) for (p, t, _), (w0, w1, v0, v1) in zip(tasks, windows)])):
+        got.append((w0 + a0, w0 + a1, v0 + b0, v0 + b1))
+        scores.append(score)
+    rest = []  # what an edit split off goes on in the band
+    for i, ((p, t, _), (w0, w1, v0, v1), (a0, a1, b0, b1)) in enumerate(zip(tasks, windows, got)):
+        least = STRETCH * len(p)
+        rest += [(i, x0, y0, p[x0:x1], t[y0:y1]) for x0, x1, y0, y1 in ((w0, a0, v0, b0), (a1, w1, b1, v1)) if alike(scores[i], a1 - a0) and x1 - x0 >= least and y1 > y0]
+    for (i, x0, y0, p, _), (a0, a1, b0, b1, score) in zip(rest, align([(a, b) for *_, a, b in rest])):
+        if a1 - a0 >= 0.5 * STRETCH * len(tasks[i][0]):
+            x, y, u, v = got[i]
+            more = (min(x, x0 + a0), max(y, x0 + a1), min(u, y0 + b0), max(v, y0 + b1))
+            if alike(scores[i] + score, more[1] - more[0]):
+                got[i], scores[i] = more, scores[i] + score
+    return [x if alike(score, x[1] - x[0]) else (0, 0, 0, 0) for x, score in zip(got, scores)]
+
+
+def alike(score: int, span: int) -> bool:
+    return score >= ALIKE * MATCH * span
+
+
+def coverage(size: int, found: list[tuple[int, int, int, int]]) -> float:
+    """The share of a passage within its longest stretch, or the best two that don't share text."""
+    some = sorted((x for x in set(found) if x[1] - x[0] >= STRETCH * size), key=lambda x: x[0] - x[1])
+    best = 0
+    for i, (a0, a1, b0, b1) in enumerate(some):
+        best = max(best, a1 - a0)
+        for c0, c1, d0, d1 in some[i + 1 :]:
+            if c1 - c0 + a1 - a0 <= best:
+                break
+            if min(b1, d1) - max(b0, d0) <= 0.2 * (d1 - d0):
+                best = max(best, a1 - a0 + c1 - c0 - max(0, min(a1, c1) - max(a0, c0)))
+    return best / size
 
 
 def _candidates(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p: Passages = shared.value
-        total = np.zeros(len(p.ids))
-        lengths = np.diff(p.begin)
-        np.add.at(total, p.item, np.repeat(p.weights, lengths))
-        seeds_of = np.bincount(p.item, minlength=len(p.ids))
         for b in blocks(batches, "text"):
-            ids = b.column("doc_id").to_pylist()
             flat, bounds = code_points([normalised(t) for t in b.column("text").to_pylist()])
-            h, at = _grams(flat, bounds)
-            ok, seeds = _prefilter(p, h)
-            docs = np.searchsorted(bounds, at[ok], "right") - 1
-            once = np.unique(np.stack([docs, seeds]), axis=1)
-            n = lengths[once[1]]
-            entry = np.repeat(p.begin[once[1]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            key = np.repeat(once[0], n) * len(p.ids) + p.item[entry]
-            pairs, back = np.unique(key, return_inverse=True)
-            held = np.bincount(back, np.repeat(p.weights[once[1]], n), len(pairs))
-            item = pairs % len(p.ids)  # a part that many documents hold weighs little, but is as much of the passage
-            enough = (held >= CANDIDATE * total[item]) | (np.bincount(back, minlength=len(pairs)) >= CANDIDATE * seeds_of[item])
-            chosen = [divmod(int(k), len(p.ids)) for k in pairs[enough]]
-            covered = coverage([(p.texts[i], flat[bounds[d] : bounds[d + 1]]) for d, i in chosen])
-            out = [(ids[d], p.ids[i], c) for (d, i), c in zip(chosen, covered) if c >= COVERED]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "item_id", "covered"])
+            tasks = [(k, band) for k, found in bands(p, flat, bounds).items() for band in found]
+            held: dict[tuple[int, int], list] = {}
+            for (k, _), x in zip(tasks, stretches([(p.texts[i], flat[bounds[d] : bounds[d + 1]], band) for (d, i), band in tasks])):
+                held.setdefault(k, []).append(x)
+            out = [(d, i, c) for (d, i), found in held.items() if (c := coverage(int(p.sizes[i]), found)) >= COVERED]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array([r[0] for r in out], pa.int64())), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], names=["doc_id", "item", "covered"])
 
     return run
 
@@ -229,9 +268,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """(doc_id, item_id, covered): documents with the items they hold, covered being the share of the passage."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
-    groups: list[list[tuple[int, str]]] = [[]]
+    named = items.select(F.col(item_col).alias("item_id"), F.col(passage_col).alias("passage")).distinct()
+    groups: list[list[tuple[object, str]]] = [[]]
     held = 0
-    for item, passage in items.select(item_col, passage_col).distinct().toLocalIterator():
+    for item, passage in named.toLocalIterator():
         text = normalised(passage)
         if not text or item is None:
             continue
@@ -240,13 +280,13 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
             held = 0
         groups[-1].append((item, text))
         held += len(text)
-    n = max(1, rows.count())
-    whole = None
+    types = {f.name: f.dataType.simpleString() for f in (*rows.schema, *named.schema)}
+    whole = spark.createDataFrame([], f"doc_id {types['doc_id']}, item_id {types['item_id']}, covered double")
     for group in groups:
+        if not group:
+            continue
         p = Passages(group)
-        counted = rows.select("text").mapInArrow(_document_counts(spark.sparkContext.broadcast(p)), "seed long, df long").groupBy("seed").agg(F.sum("df").alias("df")).toPandas()
-        p.weights = np.full(len(p.hashes), np.log(n + 1.0) + 0.1)
-        p.weights[counted["seed"].to_numpy(np.int64)] = np.log((n + 1.0) / counted["df"].to_numpy(np.float64)) + 0.1
-        part = rows.mapInArrow(_candidates(spark.sparkContext.broadcast(p)), "doc_id long, item_id long, covered double")
-        whole = part if whole is None else whole.unionByName(part)
+        part = rows.mapInArrow(_candidates(spark.sparkContext.broadcast(p)), f"doc_id {types['doc_id']}, item long, covered double")
+        ids = spark.createDataFrame([(n, i) for n, i in enumerate(p.ids)], f"item long, item_id {types['item_id']}")
+        whole = whole.unionByName(part.join(small_side(ids), "item").select("doc_id", "item_id", "covered"))
     return whole.groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"))

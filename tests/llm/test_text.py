@@ -107,9 +107,9 @@ def smith_waterman(a, b):
 def test_align_against_the_table():
     g = np.random.default_rng(1)
     pairs = [(g.integers(0, 4, 20).astype(np.uint32), g.integers(0, 4, 30).astype(np.uint32)) for _ in range(60)]
-    for (a, b), (a0, a1, b0, b1) in zip(pairs, L.align(pairs)):
+    for (a, b), (a0, a1, b0, b1, score) in zip(pairs, L.align(pairs)):
         whole = smith_waterman(a, b)
-        assert smith_waterman(a[a0:a1], b[b0:b1]) == whole
+        assert smith_waterman(a[a0:a1], b[b0:b1]) == whole == score
 
 
 def test_leaks(spark):
@@ -147,13 +147,34 @@ def test_a_third_of_all_rows_garbled(spark, true, wrong):
     assert len(got & set(garbled)) > 0.9 * len(garbled) and len(got - set(garbled)) <= 0.02 * len(texts)
 
 
+def covered(passage, text):
+    p = L.Passages([(1, passage)])
+    flat, bounds = L.code_points([text])
+    found = L.bands(p, flat, bounds).get((0, 0), [])
+    return L.coverage(len(passage), L.stretches([(p.texts[0], flat, x) for x in found])) if found else 0.0
+
+
 def test_coverage_of_stretches_far_apart():
-    g = np.random.default_rng(3)
-    p = g.integers(97, 123, 400).astype(np.uint32)
+    g = random.Random(3)
+    some = lambda n, letters: "".join(g.choice(letters) for _ in range(n))
+    p = some(400, "abcdefghijklmnopqrstuvwxyz")
     for gap in (1_000, 126_000, 140_000, 400_000):
-        t = np.concatenate([p[:120], g.integers(65, 91, gap).astype(np.uint32), p[200:320]])
-        assert 0.59 < L.coverage([(p, t)])[0] < 0.62
-    assert L.align([(p, np.concatenate([t[:70_000], p, t]))]) == [(0, 400, 70_000, 70_400)]
+        for x, y in ((p[:120], p[200:320]), (p[200:320], p[:120])):
+            assert 0.59 < covered(p, x + some(gap, "ABCDEFGHIJ") + y) < 0.62
+    assert covered(p, some(90_000, "ABC") + p + p[:100]) == 1.0
+    assert covered(p, p[:75] + some(5_000, "ABC")) < L.COVERED  # a quotation
+    assert covered(p, (p[:30] + some(40, "ABC") + p[100:130] + some(900, "ABC") + p[300:330]) * 3) < L.COVERED
+
+
+def test_leaks_keep_the_types_of_ids_and_need_no_rare_corpus_seeds(spark):
+    g = random.Random(6)
+    word = lambda: "".join(g.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    passages = [" ".join(word() for _ in range(40)) for _ in range(2)]
+    far = " ".join(passages[1].split()[20:]) + " zzz" * 40_000 + " ".join(passages[1].split()[:16])
+    docs = [("a", passages[0], 1), ("b", far, 2), ("c", "Answer in one sentence. " * 20, 3)]
+    items = [("i", "Answer in one sentence. " + passages[0]), ("j", passages[1]), *((f"k{i}", "Answer in one sentence. " + " ".join(word() for _ in range(30))) for i in range(70))]
+    got = L.leaks(spark.createDataFrame(docs, "doc_id string, text string, item long"), spark.createDataFrame(items, "item_id string, passage string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {("a", "i"), ("b", "j")}
 
 
 def test_cut_off(spark):
