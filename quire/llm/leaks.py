@@ -37,8 +37,8 @@ COVERED = 0.42  # share of a passage within the aligned stretches; an edit near
 STRETCH = 0.12  # a stretch counts from this share of the passage on
 ALIKE = 0.4  # score of a stretch against the best one of its length; one changed word in ten leaves about 0.75
 BAND = 16  # difference of neighbouring diagonals of one band
-HITS, DENSE = 3, 0.08  # seeds a band has at least, and for each character of the passage it spans
-BEYOND = 12  # characters that a stretch may go on after its last seed, besides a seed's length
+SEEN = 0.5  # share of a stretch that its seeds cover; with one word in ten changed it is 0.8 and more
+DENSE = 0.25  # share of a band's range that its seeds cover
 MATCH, MISMATCH, GAP = 2, -3, -3
 NOT_TEXT = re.compile(r"[\W_]+")
 
@@ -192,24 +192,33 @@ def bands(p: Passages, flat: np.ndarray, bounds: np.ndarray) -> dict[tuple[int,
     key = doc * len(p.ids) + item
     order = np.lexsort((b - a, key))
     key, a, b, width = key[order], a[order], b[order], p.width[entry][order]
-    first = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(b - a, prepend=0) > BAND))
+    band = np.cumsum((np.diff(key, prepend=-1) != 0) | (np.diff(b - a, prepend=0) > BAND))
+    order = np.lexsort((a, band))
+    key, a, b, width, band = key[order], a[order], b[order], width[order], band[order]
+    first = np.flatnonzero(np.diff(band, prepend=0))
     if not len(first):
         return {}
     a0, a1 = np.minimum.reduceat(a, first), np.maximum.reduceat(a + width, first)
     b0, b1 = np.minimum.reduceat(b, first), np.maximum.reduceat(b + width, first)
-    hits = np.diff(np.append(first, len(key)))
-    key, reach = key[first], a1 - a0 + 2 * (np.maximum.reduceat(width, first) + BEYOND)
+    further = np.append(a[1:] - a[:-1], 0)  # characters of the passage that its seeds cover
+    further[np.append(first[1:], len(a)) - 1] = 1 << 30
+    seen = np.add.reduceat(np.minimum(width, further), first)
+    key = key[first]
     size = p.sizes[key % len(p.ids)]
-    dense = (hits >= np.minimum(HITS, size - width[first] + 1)) & (hits >= DENSE * (a1 - a0)) & (reach >= STRETCH * size)
+    enough = (seen >= SEEN * STRETCH * size) & (seen >= DENSE * (a1 - a0))
     out: dict[tuple[int, int], list] = {}
-    for i in np.flatnonzero(dense):
-        out.setdefault(divmod(int(key[i]), len(p.ids)), []).append((int(reach[i]), int(a0[i]), int(a1[i]), int(b0[i]), int(b1[i])))
+    for i in np.flatnonzero(enough):
+        out.setdefault(divmod(int(key[i]), len(p.ids)), []).append((int(seen[i]), int(a0[i]), int(a1[i]), int(b0[i]), int(b1[i])))
     best = {k: sum(sorted((r for r, *_ in v), reverse=True)[:2]) for k, v in out.items()}
-    return {k: [x[1:] for x in v] for k, v in out.items() if best[k] >= COVERED * p.sizes[k[1]]}
+    return {k: [x[1:] for x in v] for k, v in out.items() if best[k] >= SEEN * COVERED * p.sizes[k[1]]}
 
 
 def stretches(tasks: list[tuple[np.ndarray, np.ndarray, tuple[int, int, int, int]]]) -> list[tuple[int, int, int, int]]:
     """For each (passage, text, band) the aligned stretch in it: (passage from, to, text from, to)."""
+    whole = [a1 - a0 == len(p) and np.array_equal(p, t[b0:b1]) for p, t, (a0, a1, b0, b1) in tasks]  # nothing to align
+    if any(whole):
+        others = iter(stretches([x for x, w in zip(tasks, whole) if not w]))
+        return [x[2] if w else next(others) for x, w in zip(tasks, whole)]
     windows = []
     for p, t, (a0, a1, b0, b1) in tasks:
         m = 48 + len(p) // 8
