@@ -147,6 +147,17 @@ def test_a_third_of_all_rows_garbled(spark, true, wrong):
     assert len(got & set(garbled)) > 0.9 * len(garbled) and len(got - set(garbled)) <= 0.02 * len(texts)
 
 
+def test_single_letters_of_another_script_count_together(spark):
+    rows = __import__("duckdb").sql("select distinct content from '/root/testdata/sf0.1/chunks.parquet' where length(content) between 150 and 400 order by content").fetchall()
+    some = [t for (t,) in rows if sum(c in "éèàêíóñúüä" for c in t) > 4 and not any("\u0250" <= c < "\u2000" or c > "\u2100" or c in "ÃÂ√" for c in t)][:300]
+    bad = {str(i): t.encode("cp1252", "ignore").decode("cp1251", "ignore") if i % 2 else t.encode().decode("gb18030", "ignore") for i, t in enumerate(some) if i % 20 < 2 and sum(c in "éèàêíóñúüä" for c in t) > 7}
+    texts = [(str(i), bad.get(str(i), t)) for i, t in enumerate(some)] + [("alike", "Thе bоat had аlready lеft the hаrbour, nobody sаid a wоrd.")] + [(f"u{i}", "𠁁𠂢") for i in range(3)]
+    got = {r["id"] for r in M.repair_encoding(spark.createDataFrame(texts, "id string, text string"), "id", "text").where("affected").collect()}
+    assert len(got & set(bad)) > 0.9 * len(bad) > 5 and len(got - set(bad)) <= 3 and "alike" not in got
+    a, _ = M.CharModel.slots(np.array([0x20041, 0x41], np.uint32))
+    assert a[0] != a[1] and a[0] < 1 << M.ONE_BITS
+
+
 def covered(passage, text):
     p = L.Passages([(1, passage)])
     flat, bounds = L.code_points([text])
