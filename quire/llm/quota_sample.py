@@ -1,17 +1,18 @@
 """A sample whose category shares follow given targets, by the cube method.
 
 Every record of a target category has the inclusion probability quota / available. The balancing variables
-are the category indicators. Flight: within each partition, a step moves the probabilities of records along
+are the category indicators. Flight: within each bucket, a step moves the probabilities of records along
 a direction in the kernel of the indicators (two records of one category, one up and one down) until one of
 them is 0 or 1; the choice of the end keeps the expectation. At most one record per category stays open in a
-partition. The open records merge upward, eight partitions into one, and fly again, up to a single partition
-of at most partitions x categories rows. Landing resolves what is left there. The residual imbalance
+bucket. The open records merge upward, eight buckets into one, and fly again, up to a single bucket
+of at most eight times as many rows as there are categories. Landing resolves what is left there. The residual imbalance
 (sampled minus wanted) and the categories that can't be filled are reported.
 
 Defined results: categories are compared after trimming white space of any kind; null, blank and unlisted
 categories belong to no target and aren't drawn; a row without id is ignored; an id that occurs more often
 counts once, with its smallest category; a category with fewer records than its quota is taken whole. With
-no records at all, every quota is the minimum of its category. The draw depends on the seed and the ids only.
+no records at all, every quota is the minimum of its category. The draw depends on the seed, the ids and
+``per_bucket`` only: records fly in buckets by a hash of the id, whatever partitions they lie in.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 from quire.session import dropped, small_side, written
 
+PER_BUCKET = 50_000  # records that fly together
+
 OPEN = 1e-6
 MERGE = 8
 
@@ -38,21 +41,30 @@ def _uniform(seed: int, a: str, b: str) -> float:
 
 
 def _flight(seed: int, landing: bool):
-    """Updates pi of the rows of a partition; with landing nothing stays open."""
+    """Updates pi of rows sorted by bucket; with landing nothing stays open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, tuple[str, float]] = {}  # the one open record of each category
-        done: list[tuple[str, str, float]] = []
+        done: list[tuple[int, str, str, float]] = []
+        bucket = None
 
         def table() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["id", "category", "pi"])
+            b = pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.float64()))], names=["bucket", "id", "category", "pi"])
             done.clear()
             return b
 
+        def left() -> None:
+            for category, (a, p) in open_.items():
+                done.append((bucket, a, category, float(_uniform(seed, a, "landing") < p) if landing else p))
+            open_.clear()
+
         for batch in batches:
-            for b, category, pb in zip(*(batch.column(c).to_pylist() for c in ("id", "category", "pi"))):
+            for of, b, category, pb in zip(*(batch.column(c).to_pylist() for c in ("bucket", "id", "category", "pi"))):
+                if of != bucket:
+                    left()
+                    bucket = of
                 if not OPEN < pb < 1 - OPEN:
-                    done.append((b, category, float(round(pb))))
+                    done.append((bucket, b, category, float(round(pb))))
                     continue
                 if category not in open_:
                     open_[category] = (b, pb)
@@ -64,17 +76,16 @@ def _flight(seed: int, landing: bool):
                     if OPEN < p < 1 - OPEN:
                         open_[category] = (record, p)
                     else:
-                        done.append((record, category, float(round(p))))
+                        done.append((bucket, record, category, float(round(p))))
             if len(done) >= 20_000:
                 yield table()
-        for category, (a, p) in open_.items():
-            done.append((a, category, float(_uniform(seed, a, "landing") < p) if landing else p))
+        left()
         yield table()
 
     return run
 
 
-def sample_to_targets(df: DataFrame, targets: DataFrame, id_col: str = "id", category_col: str = "category", share_col: str = "share_bp", min_col: str = "min_books", one_in: int = 5, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def sample_to_targets(df: DataFrame, targets: DataFrame, id_col: str = "id", category_col: str = "category", share_col: str = "share_bp", min_col: str = "min_books", one_in: int = 5, seed: int = 7, per_bucket: int = PER_BUCKET) -> tuple[DataFrame, DataFrame]:
     """(sample, report). sample: (id, category). report: (category, available, quota, sampled, residual), a row per target."""
     spark = df.sparkSession
     ids = df.select(F.col(id_col).cast("string").alias("id"), trimmed(F.col(category_col)).alias("category")).where(F.col("id").isNotNull()).groupBy("id").agg(F.min("category").alias("category"))
@@ -88,20 +99,22 @@ def sample_to_targets(df: DataFrame, targets: DataFrame, id_col: str = "id", cat
     goals, _ = written(goals, "sample")
     pi = F.when(F.col("available") > 0, F.least(F.lit(1.0), F.col("quota") / F.col("available"))).otherwise(0.0)
     records = base.join(small_side(goals.select("category", pi.alias("pi"))), "category").select("id", "category", "pi")
-    schema = "id string, category string, pi double"
-    state, _ = written(records.sortWithinPartitions(F.xxhash64(F.lit(seed), "id")).mapInArrow(_flight(seed, False), schema), "sample")
-    dropped(spark, base_at)
+    schema = "bucket long, id string, category string, pi double"
+    width = 1
+    n_records = base.count()
+    while width * per_bucket < n_records:
+        width *= MERGE
     is_open = (F.col("pi") > OPEN) & (F.col("pi") < 1 - OPEN)
-    parts = [state.where(~is_open)]
-    still, width = state.where(is_open), max(1, state.rdd.getNumPartitions())
+    still, parts = records.withColumn("bucket", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(width))), []
     while True:
-        width = max(1, width // MERGE)
-        merged = still.repartition(width, F.pmod(F.xxhash64("id"), F.lit(width))) if width > 1 else still.coalesce(1)
-        state, _ = written(merged.sortWithinPartitions(F.xxhash64(F.lit(seed), "id")).mapInArrow(_flight(seed, width == 1), schema), "sample")
+        flying = still.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64(F.lit(seed), "id"), "id").select("bucket", "id", "category", "pi")
+        state, _ = written(flying.mapInArrow(_flight(seed, width == 1), schema), "sample")
         parts.append(state.where(~is_open))
-        still = state.where(is_open)
         if width == 1:
             break
+        width //= MERGE
+        still = state.where(is_open).withColumn("bucket", F.pmod(F.col("bucket"), F.lit(width)))
+    dropped(spark, base_at)
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)

@@ -21,6 +21,20 @@ def test_sample(spark):
     assert {r["sampled"] for r in sample_to_targets(df.limit(0), goals)[1].collect()} == {0}
 
 
+def test_sample_is_the_same_in_any_layout(spark):
+    rows = [(f"b{i:04}", "甲" if i % 3 else "乙") for i in range(2000)]
+    goals = spark.createDataFrame([("甲", 6000, 1), ("乙", 4000, 1)], "category string, share_bp int, min_books int")
+    drawn = set()
+    for parts, shuffles in ((1, 1), (3, 8), (7, 5)):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        df = spark.createDataFrame(rows[::-1] if parts == 3 else rows, "id string, category string").repartition(parts)
+        sample, report = sample_to_targets(df, goals, per_bucket=60)
+        drawn.add(frozenset(r["id"] for r in sample.collect()))
+        assert {r["residual"] for r in report.collect()} == {0}
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert len(drawn) == 1 and len(next(iter(drawn))) == 400
+
+
 def vectors(n=1500, seed=0):
     g = np.random.default_rng(seed)
     x = g.normal(size=(n // 3, 64))
