@@ -11,8 +11,12 @@ IDEOGRAPH = r"\x{4e00}-\x{9fff}"
 PUNCTUATION = "，。！？；：、“”‘’（）《》"
 
 
+#: The same white space as single characters.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def count_of(c: Column, inside: str) -> Column:
@@ -50,7 +54,7 @@ def summary(c: Column, longest: int = 200) -> Column:
 
 def title(c: Column) -> Column:
     """The first of ten lines that isn't blank and has fewer than 50 characters."""
-    lines = F.transform(F.slice(F.split(strip(c), "\n"), 1, 10), lambda x: F.regexp_replace(x, f"^[#{SPACE}]+|[#{SPACE}]+$", ""))
+    lines = F.transform(F.slice(F.split(strip(c), "\n"), 1, 10), lambda x: F.btrim(x, F.lit("#" + SPACES)))
     return F.coalesce(F.get(F.filter(lines, lambda x: (F.length(x) > 0) & (F.length(x) < 50)), F.lit(0)), F.lit("未命名书籍"))
 
 

@@ -127,7 +127,11 @@ k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY start_line) AS k, ma
 
 
 def _heads(spark, sf):
-    return structure.headings(table(spark, sf, "documents").where("text IS NOT NULL"), "doc_id", "text")
+    return structure.headings(table(spark, sf, "documents").where("text IS NOT NULL"), "doc_id", "text").drop("start_char")
+
+
+def _tree(spark, sf):
+    return structure.heading_tree(table(spark, sf, "documents").where("text IS NOT NULL"), "doc_id", "text")
 
 
 @query(_HEADS + "SELECT * FROM h")
@@ -143,21 +147,34 @@ def chapter_merge(spark, sf):
 @query(_HEADS + "SELECT id, start_line, level, coalesce((SELECT max(b.start_line) FROM h b WHERE b.id = h.id AND b.start_line < h.start_line AND b.level < h.level), -1) AS parent_line FROM h")
 def chapter_tree(spark, sf):
     """parent_line is -1 under the root."""
-    return structure.heading_tree(_heads(spark, sf)).withColumn("parent_line", F.coalesce("parent_line", F.lit(-1)))
+    return _tree(spark, sf).drop("leaf").withColumn("parent_line", F.coalesce("parent_line", F.lit(-1)))
 
 
 @query(_HEADS + ", t AS (SELECT id, start_line, (SELECT max(b.start_line) FROM h b WHERE b.id = h.id AND b.start_line < h.start_line AND b.level < h.level) AS parent_line FROM h) SELECT id, start_line FROM t WHERE NOT EXISTS (SELECT 1 FROM t c WHERE c.id = t.id AND c.parent_line = t.start_line)")
 def chapter_leaves(spark, sf):
-    tree = structure.heading_tree(_heads(spark, sf))
-    parents = tree.where("parent_line IS NOT NULL").select("id", F.col("parent_line").alias("start_line")).distinct()
-    return tree.join(parents, ["id", "start_line"], "left_anti").select("id", "start_line")
+    return _tree(spark, sf).where("leaf").select("id", "start_line")
+
+
+_OWN_LINES = """, m AS (SELECT l.id, l.line_no, l.raw, last_value(h.start_line IGNORE NULLS) OVER w AS start_line, max(h.start_line) OVER (PARTITION BY l.id) AS anyone,
+  coalesce(sum(length(l.raw) + 1) OVER (PARTITION BY l.id ORDER BY l.line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM l LEFT JOIN h ON h.id = l.id AND h.start_line = l.line_no WINDOW w AS (PARTITION BY l.id ORDER BY l.line_no ROWS UNBOUNDED PRECEDING)),
+"""
+_ABOVE = """, up AS (SELECT h.id, h.start_line, h.title, (SELECT string_agg(b.title, ' / ' ORDER BY b.start_line) FROM h b WHERE b.id = h.id AND b.start_line < h.start_line AND b.level < h.level
+  AND NOT EXISTS (SELECT 1 FROM h c WHERE c.id = h.id AND c.start_line > b.start_line AND c.start_line < h.start_line AND c.level <= b.level)) AS above FROM h)
+"""
 
 
-@query(_HEADS + f""", m AS (SELECT l.id, l.line_no, l.raw, last_value(h.start_line IGNORE NULLS) OVER w AS start_line, last_value(h.title IGNORE NULLS) OVER w AS title, max(h.start_line) OVER (PARTITION BY l.id) AS anyone FROM l LEFT JOIN h ON h.id = l.id AND h.start_line = l.line_no WINDOW w AS (PARTITION BY l.id ORDER BY l.line_no ROWS UNBOUNDED PRECEDING)),
-c AS (SELECT id, CAST(coalesce(start_line, 0) AS INTEGER) AS start_line, max(title) AS title, {STRIP("string_agg(raw, chr(10) ORDER BY line_no)")} AS content FROM m WHERE start_line IS NOT NULL OR anyone IS NULL GROUP BY id, coalesce(start_line, 0))
-SELECT id, start_line, CASE WHEN title IS NOT NULL AND length(content) <= 1024 THEN id || '/' || title ELSE '' END AS struct_path, content FROM c WHERE length(content) > 0""")
+@query(
+    _HEADS + _ABOVE + _OWN_LINES
+    + f"""c AS (SELECT id, CAST(coalesce(start_line, 0) AS INTEGER) AS start_line, {STRIP("string_agg(raw, chr(10) ORDER BY line_no)")} AS content,
+  min(pos) AS start_char, min(pos) + sum(length(raw) + 1) - 1 AS end_char FROM m WHERE start_line IS NOT NULL OR anyone IS NULL GROUP BY id, coalesce(start_line, 0))
+SELECT c.id, c.start_line, CASE WHEN up.title IS NOT NULL AND length(content) <= 1024 THEN c.id || '/' || up.title ELSE '' END AS struct_path, content,
+  CAST(start_char AS INTEGER) AS start_char, CAST(end_char AS INTEGER) AS end_char, CAST(length(content) AS INTEGER) AS token_count,
+  concat_ws(' / ', up.above, up.title) AS heading_stack FROM c LEFT JOIN up ON up.id = c.id AND up.start_line = c.start_line WHERE length(content) > 0"""
+)
 def chunk_structure(spark, sf):
-    return structure.chapter_chunks(table(spark, sf, "documents").where("text IS NOT NULL"), "doc_id", "text")
+    chunks = structure.chapter_chunks(table(spark, sf, "documents").where("text IS NOT NULL"), "doc_id", "text")
+    return chunks.withColumn("heading_stack", F.concat_ws(" / ", "heading_stack"))
 
 
 _FIXED = "(SELECT doc_id AS id, CAST(o AS INTEGER) AS start, substring(text, CAST(o AS INTEGER) + 1, 1024) AS content FROM (SELECT doc_id, text, unnest(range(0, length(text), 768)) AS o FROM documents WHERE length(text) > 0))"

@@ -69,7 +69,8 @@ HEADS = [
 @pytest.mark.parametrize("text,want", HEADS)
 def test_headings(spark, text, want):
     rows = structure.headings(spark.createDataFrame([(1, text)], "id int, t string"), "id", "t").orderBy("start_line").collect()
-    assert [tuple(r)[1:] for r in rows] == want
+    assert [tuple(r)[1:5] for r in rows] == want
+    assert all(text[r["start_char"] :].startswith(r["title"][:2]) for r in rows)
 
 
 def test_merge_and_tree_against_loops(spark):
@@ -80,13 +81,19 @@ def test_merge_and_tree_against_loops(spark):
     starts = sorted(g.sample(range(200), 40))
     rows = [(1, lv, f"t{i}", s, e) for i, (lv, s, e) in enumerate(zip(levels, starts, [*starts[1:], 200]))]
     df = spark.createDataFrame(rows, "id int, level int, title string, start_line int, end_line int")
+    form = {0: "第{}部 x", 1: "第{}章 x", 2: "第{}节 x", 3: "{}.1. x"}
+    text = ["filler"] * 200
+    for i, (lv, s) in enumerate(zip(levels, starts)):
+        text[s] = form[lv].format(i)
     stack, parents = [], {}
     for _, lv, _, s, _ in rows:
         while stack and stack[-1][0] >= lv:
             stack.pop()
         parents[s] = stack[-1][1] if stack else None
         stack.append((lv, s))
-    assert {r["start_line"]: r["parent_line"] for r in structure.heading_tree(df).collect()} == parents
+    tree = structure.heading_tree(spark.createDataFrame([(1, "\n".join(text)), (2, None), (3, "")], "id int, t string"), "id", "t").collect()
+    assert {r["start_line"]: r["parent_line"] for r in tree} == parents
+    assert {r["start_line"] for r in tree if r["leaf"]} == set(starts) - set(parents.values())
     kept = []
     for r in rows:
         if kept and r[4] - r[3] < 3:
@@ -96,6 +103,22 @@ def test_merge_and_tree_against_loops(spark):
     assert [[r["start_line"], r["end_line"]] for r in structure.merged(df).orderBy("start_line").collect()] == kept
 
 
+def test_chapter_chunks_offsets(spark):
+    text = "preface\n\n第一部 甲\n第一章 乙\n 文。 \n第二章 丙\n字" + "。" * 1100 + "\n第一章 乙\n尾"
+    df = spark.createDataFrame([(1, text), (2, "no heading "), (3, "  \n"), (4, None)], "id int, t string")
+    rows = structure.chapter_chunks(df, "id", "t").orderBy("id", "start_char").collect()
+    assert [(r["id"], r["heading_stack"], r["struct_path"]) for r in rows] == [(1, ["第一部 甲"], "1/第一部 甲"), (1, ["第一部 甲", "第一章 乙"], "1/第一章 乙"), (1, ["第一部 甲", "第二章 丙"], ""), (2, [], "")]
+    for r in rows[:3]:
+        assert text[r["start_char"] : r["end_char"]].strip() == r["content"] and r["token_count"] == len(r["content"])
+    kept = structure.chapter_chunks(df, "id", "t", keep_preamble=True).where("id = 1").orderBy("start_char").collect()
+    assert len(kept) == 4 and kept[0]["content"] == "preface" and kept[0]["end_char"] + 1 == kept[1]["start_char"]
+
+
+def test_short_headings_are_an_option(spark):
+    df = spark.createDataFrame([(1, "前言\n字\n跋\n字")], "id int, t string")
+    assert structure.headings(df, "id", "t").count() == 0 and structure.headings(df, "id", "t", min_heading_len=1).count() == 2
+
+
 def test_bm25(spark):
     rows = [("a1", "red fox jumps"), ("a2", "red red dog"), ("a3", "blue cat sat on the mat"), ("a4", "green"), ("a5", "fox")]
     df = spark.createDataFrame([(i, f"{i} {t}") for i, t in rows], "id string, t string")
