@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # White space of any kind, ideographs, and the punctuation that counts as such, as parts of a class.
 SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 IDEOGRAPH = r"\x{4e00}-\x{9fff}"
-PUNCTUATION = "，。！？；：、“”‘’（）《》"
+PUNCTUATION = r"""，。、；：？！“”‘’（）【】《》—…·.,;:?!'"()\[\]{}"""
 
 
 #: The same white space as single characters.
@@ -83,3 +83,29 @@ def tokens(c: Column) -> Column:
 def bigram_tokens(c: Column) -> Column:
     """The optional analyser: words as they are, ideographs in pairs."""
     return F.regexp_extract_all(F.lower(c), F.lit(r"(?=([\x{4e00}-\x{9fff}]{2}))|([a-z0-9]+)"), 1)
+
+
+def safe_file_name(name: str) -> str:
+    return name.translate(str.maketrans(" /", "__"))
+
+
+def file_size(n: Column) -> Column:
+    """A number of bytes for a reader."""
+    k = 1024
+    return F.when(n < k, F.format_string("%dB", n.cast("long"))).when(n < k * k, F.format_string("%.1fKB", n / k)).otherwise(F.format_string("%.1fMB", n / (k * k)))
+
+
+def heading(stack: Column) -> Column:
+    """The innermost heading of a stack, '' for none."""
+    return F.coalesce(F.try_element_at(stack, F.lit(-1)), F.lit(""))
+
+
+def stable_id(*parts: Column) -> Column:
+    """An id that a repeated run makes again."""
+    return F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256)
+
+
+def short_summary(c: Column) -> Column:
+    """The first two sentences, as one."""
+    sentences = F.filter(F.split(c, "[。！？]"), lambda x: F.length(F.trim(x)) > 0)
+    return F.array_join(F.slice(sentences, 1, 2), "")

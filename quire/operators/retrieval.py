@@ -1,4 +1,4 @@
-"""Full-text search with BM25, exact vector search, rank fusion, reordering and budgeted context."""
+"""Full-text search with BM25 over texts as they are, exact vector search, rank fusion, reordering and budgeted context."""
 
 from __future__ import annotations
 
@@ -51,6 +51,57 @@ def vector_search(df: DataFrame, id_col: str, vector_col: str, query: list[float
     return rows.select(F.col(id_col).alias("id"), cosine(F.col(vector_col), q).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
+QUERIES, ROWS = 2_048, 32_768  # vectors of a block in the search for many queries
+
+
+def _scan_block(k: int, dim: int):
+    import numpy as np
+    import pyarrow as pa
+
+    def run(table: pa.Table) -> pa.Table:
+        asked, rows = (table.filter(table["is_query"] if q else pa.compute.invert(table["is_query"])) for q in (True, False))
+        x, y = (np.asarray(t["vector"].combine_chunks().flatten(), np.float64).reshape(-1, dim) for t in (asked, rows))
+        x, y = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) for v in (x, y))
+        score = x @ y.T
+        m = min(k + 1, len(y))  # the query itself may be among them
+        top = np.argpartition(-score, m - 1, axis=1)[:, :m] if m else np.zeros((len(x), 0), np.int64)
+        return pa.table({"query_id": asked["id"].take(np.repeat(np.arange(len(x)), m)), "id": rows["id"].take(top.ravel()), "score": np.take_along_axis(score, top, 1).ravel()})
+
+    return run
+
+
+def vector_search_batch(df: DataFrame, id_col: str, vector_col: str, queries: Column, dim: int, k: int = 10) -> DataFrame:
+    """(query_id, id, score, rank): the k rows most similar to each row that queries selects, itself not among them.
+
+    Exact: blocks of queries meet blocks of rows, a product each; the best of each block are merged. Vectors that are
+    null or of another length are ignored, and so are nulls in id."""
+    v = F.col(vector_col).cast("array<double>")
+    rows = df.where(F.col(id_col).isNotNull() & (F.size(v) == dim)).select(F.col(id_col).alias("id"), v.alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    n = rows.agg(F.count("*").alias("rows"), F.count_if("asks").alias("asks")).first()
+    nq, nr = max(1, -(-n["asks"] // QUERIES)), max(1, -(-n["rows"] // ROWS))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    stored = rows.select("id", "vector", block(nr).alias("r"), F.lit(False).alias("is_query")).select("*", every(nq).alias("q"))
+    asking = rows.where("asks").select("id", "vector", block(nq).alias("q"), F.lit(True).alias("is_query")).select("*", every(nr).alias("r"))
+    kind = rows.schema["id"].dataType.simpleString()
+    found = stored.unionByName(asking).groupBy("q", "r").applyInArrow(_scan_block(k, dim), f"query_id {kind}, id {kind}, score double").where("query_id <> id")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def normalised(v: Column) -> Column:
+    """v as a vector of length 1; the length counts as at least 1e-12."""
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return F.transform(v, lambda x: x.cast("double") / F.greatest(length, F.lit(1e-12)))
+
+
+def mean_pooled(vectors: DataFrame, group: str, vector_col: str) -> DataFrame:
+    """(group, vector): the mean of the vectors of a group, element by element; null vectors don't count."""
+    each = vectors.where(F.col(vector_col).isNotNull()).select(group, F.posexplode(vector_col).alias("at", "x"))
+    mean = each.groupBy(group, "at").agg((F.sum(F.col("x").cast("double")) / F.count("*")).alias("x"))
+    return mean.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("vector"))
+
+
 def fuse(legs: list[DataFrame], k: int = 20) -> DataFrame:
     """Reciprocal rank fusion of ranked (id, score) lists of at most some hundred rows: (id, rrf, source)."""
     ranked = [leg.select("id", F.row_number().over(W.orderBy(F.desc("score"), "id")).alias("rank"), F.lit(i).alias("leg")) for i, leg in enumerate(legs)]
@@ -58,6 +109,7 @@ def fuse(legs: list[DataFrame], k: int = 20) -> DataFrame:
     for r in ranked[1:]:
         both = both.unionByName(r)
     per = both.groupBy("id").agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("rrf"), F.min(F.struct("leg", "rank")).alias("first"), F.count("*").alias("legs"))
+    # every fused row is a hybrid one for a reader of the hits; here the legs it came from are told
     source = F.when(F.col("legs") > 1, "hybrid").when(F.col("first.leg") == 0, "vector").otherwise("fts")
     return per.orderBy(F.desc(F.round("rrf", 12)), "first", "id").limit(k).select("id", "rrf", source.alias("source"))
 

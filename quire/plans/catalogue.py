@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quire.plans import hierarchy_queries, library_queries
+from quire.plans import hierarchy_queries, library_queries, search_queries
 
-MODULES = [hierarchy_queries, library_queries]
+MODULES = [hierarchy_queries, library_queries, search_queries]
 
 
 def queries() -> dict:

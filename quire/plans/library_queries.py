@@ -23,8 +23,9 @@ def query(sql: str | None = None):
     return add
 
 
-# Parts of the SQL.
-WS = T.SPACE
+# Parts of the SQL, which states its constants for itself.
+WS = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SIGNS = "，。、；：？！“”‘’（）【】《》—…·.,;:?!''\"()\\[\\]{}"
 CN = "(length({0}) - length(regexp_replace({0}, '[\\x{{4e00}}-\\x{{9fff}}]', '', 'g')))".format
 EN = "(length({0}) - length(regexp_replace({0}, '[A-Za-z]', '', 'g')))".format
 STRIP = (lambda x: f"regexp_replace({x}, '^[{WS}]+|[{WS}]+$', '', 'g')")
@@ -53,10 +54,10 @@ def content_type(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.content_type(F.col("text")).alias("content_type"))
 
 
-@query(f"SELECT doc_id, CAST({CN('text')} AS INTEGER) AS chinese, CAST({EN('text')} AS INTEGER) AS letters, CAST(length(text) - length(regexp_replace(text, '[0-9]', '', 'g')) AS INTEGER) AS digits, CAST(length(text) - length(regexp_replace(text, '[{T.PUNCTUATION}]', '', 'g')) AS INTEGER) AS punctuation, CAST(floor(1.5 * {CN('text')} + 0.25 * (length(text) - {CN('text')})) AS INTEGER) AS tokens FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, CAST({CN('text')} AS INTEGER) AS chinese, CAST({EN('text')} AS INTEGER) AS letters, CAST(length(text) - length(regexp_replace(text, '\\p{{Nd}}', '', 'g')) AS INTEGER) AS digits, CAST(length(text) - length(regexp_replace(text, '[{SIGNS}]', '', 'g')) AS INTEGER) AS punctuation, CAST(floor(1.5 * {CN('text')} + 0.25 * (length(text) - {CN('text')})) AS INTEGER) AS tokens FROM documents WHERE text IS NOT NULL")
 def char_class_stats(spark, sf):
     t = F.col("text")
-    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", T.count_of(t, T.IDEOGRAPH).alias("chinese"), T.count_of(t, "A-Za-z").alias("letters"), T.count_of(t, "0-9").alias("digits"), T.count_of(t, T.PUNCTUATION).alias("punctuation"), T.token_estimate(t).alias("tokens"))
+    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", T.count_of(t, T.IDEOGRAPH).alias("chinese"), T.count_of(t, "A-Za-z").alias("letters"), T.count_of(t, r"\p{Nd}").alias("digits"), T.count_of(t, T.PUNCTUATION).alias("punctuation"), T.token_estimate(t).alias("tokens"))
 
 
 def _summary_sql(c):
@@ -90,23 +91,37 @@ def safe_names_and_sizes(spark, sf):
     return books_of(spark, sf).select("id", T.safe_name(F.col("title")).alias("name"), T.size_bucket(F.col("total_chars")).alias("size_bucket"))
 
 
-@query(f"SELECT doc_id, list_bool_or(list_transform(string_split(text, chr(10)), lambda x: contains(x, '|'))) AND contains(text, '---') AS has_table, contains(text, '```') OR list_bool_or(list_transform(string_split(text, chr(10))[1:100], lambda x: starts_with(x, '    '))) AS has_code, list_bool_or(list_transform(string_split(text, chr(10))[1:200], lambda x: regexp_matches(x, '^[{WS}]*([-*] |•)'))) AS has_list FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, list_bool_or(list_transform(string_split(text, chr(10)), lambda x: contains(x, '|'))) AND contains(text, '---') AS has_table, list_bool_or(list_transform(string_split(text, chr(10))[1:100], lambda x: contains(x, '```') OR starts_with(x, '    '))) AS has_code, list_bool_or(list_transform(string_split(text, chr(10))[1:200], lambda x: regexp_matches(x, '^[{WS}]*([-*] |•)'))) AS has_list FROM documents WHERE text IS NOT NULL")
 def content_markers(spark, sf):
     t = F.col("text")
     lines = F.split(t, "\n")
-    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", (F.exists(lines, lambda x: F.contains(x, F.lit("|"))) & F.contains(t, F.lit("---"))).alias("has_table"), (F.contains(t, F.lit("```")) | F.exists(F.slice(lines, 1, 100), lambda x: F.startswith(x, F.lit("    ")))).alias("has_code"), F.exists(F.slice(lines, 1, 200), lambda x: x.rlike(f"^[{WS}]*([-*] |•)")).alias("has_list"))
+    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", (F.exists(lines, lambda x: F.contains(x, F.lit("|"))) & F.contains(t, F.lit("---"))).alias("has_table"), F.exists(F.slice(lines, 1, 100), lambda x: F.contains(x, F.lit("```")) | F.startswith(x, F.lit("    "))).alias("has_code"), F.exists(F.slice(lines, 1, 200), lambda x: x.rlike(f"^[{WS}]*([-*] |•)")).alias("has_list"))
 
 
-_COUNT = (lambda p: f"CAST(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{p}'))) AS INTEGER)")
-_PATTERNS = {"chapter": "第.*[章节]|[章节].*第", "number": f"^[{WS}]*[0-9]", "numeral": "^.{0,3}[一二三四五六七八九十]、", "bracket": f"^[{WS}]*（.{{0,8}}）"}
+_FIRST5 = "substring(x, 1, 5)"
+_LINE_SQL = {
+    "chapter": "contains(x, '第') AND (contains(x, '章') OR contains(x, '节'))",
+    "number": f"regexp_matches(x, '^[{WS}]*\\p{{Nd}}') AND contains({_FIRST5}, '.')",
+    "numeral": " OR ".join(f"contains({_FIRST5}, '{c}、')" for c in "一二三四五六七八九十"),
+    "bracket": f"regexp_matches(x, '^[{WS}]*（') AND contains(substring(x, 1, 10), '）')",
+}
+_LINE_RULES = {
+    "chapter": lambda x: x.rlike("第.*[章节]|[章节].*第"),
+    "number": lambda x: x.rlike(rf"^[{T.SPACE}]*\p{{Nd}}") & x.rlike(r"^.{0,4}\."),
+    "numeral": lambda x: x.rlike("^.{0,3}[一二三四五六七八九十]、"),
+    "bracket": lambda x: x.rlike(f"^[{T.SPACE}]*（") & x.rlike("^.{0,9}）"),
+}
 
 
-@query("SELECT doc_id, " + ", ".join(f"{_COUNT(p)} AS {k}" for k, p in _PATTERNS.items()) + ", CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_lines, round(length(text) / len(string_split(text, chr(10))), 6) AS avg_line FROM documents WHERE text IS NOT NULL")
+@query(
+    "SELECT doc_id, " + ", ".join(f"CAST(len(list_filter(string_split(text, chr(10)), lambda x: {p})) AS INTEGER) AS {k}" for k, p in _LINE_SQL.items())
+    + ", CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_lines, round(length(text) / len(string_split(text, chr(10))), 6) AS avg_line FROM documents WHERE text IS NOT NULL"
+)
 def line_patterns(spark, sf):
     lines = F.split("text", "\n")
     n = F.size(lines)
-    matching = lambda p: F.size(F.filter(lines, lambda x: x.rlike(p)))
-    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", *(matching(p).alias(k) for k, p in _PATTERNS.items()), n.alias("n_lines"), F.round(F.length("text") / n, 6).alias("avg_line"))
+    counts = [F.size(F.filter(lines, rule)).alias(k) for k, rule in _LINE_RULES.items()]
+    return table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", *counts, n.alias("n_lines"), F.round(F.length("text") / n, 6).alias("avg_line"))
 
 
 _LINES = f"(SELECT doc_id AS id, line_no - 1 AS line_no, raw, {STRIP('raw')} AS line, n_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, len(string_split(text, chr(10))) AS n_lines FROM documents WHERE text IS NOT NULL))"
@@ -117,8 +132,16 @@ def txt_lines_pages(spark, sf):
     return structure.pages(table(spark, sf, "documents"), "doc_id", "text")
 
 
-_FORM = "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN {n}" for p, n in structure.LEVELS) + " END"
-_LEVEL = "CASE " + " ".join(f"WHEN regexp_matches(line, '{p}') THEN coalesce(form, {n})" for p, n in structure.PATTERNS) + " END"
+_CN = "一二三四五六七八九十百千万"
+_FORM = f"""CASE WHEN regexp_matches(line, '^第[{_CN}\\p{{Nd}}]+[部卷集]') THEN 0 WHEN regexp_matches(line, '^第[{_CN}\\p{{Nd}}]+[章回]') THEN 1
+WHEN regexp_matches(line, '^第[{_CN}\\p{{Nd}}]+[节篇]') THEN 2 WHEN regexp_matches(line, '^(前言|序言|引言|绪论|附录|后记|跋|参考文献)') THEN 0
+WHEN regexp_matches(line, '^\\p{{Nd}}+\\.\\p{{Nd}}+\\.') THEN 3 WHEN regexp_matches(line, '^\\p{{Nd}}+\\.') THEN 2 END"""
+_LEVEL = f"""CASE WHEN regexp_matches(line, '^第[{_CN}\\p{{Nd}}]+[章节回部卷篇集]') THEN coalesce(form, 1)
+WHEN regexp_matches(line, '^(Book|Chapter|Section|Part|Volume)[{WS}]+[\\p{{Nd}}IVXLC]+') THEN coalesce(form, 2)
+WHEN regexp_matches(line, '^[{_CN}]+[、.{WS}]+[^\\n]') THEN coalesce(form, 2) WHEN regexp_matches(line, '^\\p{{Nd}}+(\\.\\p{{Nd}}+)*[.{WS}]+[^\\n]') THEN coalesce(form, 2)
+WHEN regexp_matches(line, '^[（(][一二三四五六七八九十]+[）)]') THEN coalesce(form, 3)
+WHEN regexp_matches(line, '^(Part|Chapter|Section)[{WS}]+(One|Two|Three|Four|Five|Six|Seven|Eight|Nine|Ten)') THEN coalesce(form, 2)
+WHEN regexp_matches(line, '^(前言|序言|引言|绪论|绪言|导论|导言|附录|后记|跋|参考文献|参考书目|致谢|鸣谢)$') THEN coalesce(form, 1) END"""
 _HEADS = f"""WITH l AS {_LINES}, f AS (SELECT *, {_FORM} AS form FROM l WHERE length(line) >= 3), v AS (SELECT *, {_LEVEL} AS level FROM f),
 d AS (SELECT * FROM v WHERE level IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id, substring(line, 1, 30) ORDER BY line_no) = 1),
 h AS (SELECT id, CAST(level AS INTEGER) AS level, substring(line, 1, 100) AS title, CAST(line_no AS INTEGER) AS start_line, CAST(coalesce(lead(line_no) OVER (PARTITION BY id ORDER BY line_no), n_lines) AS INTEGER) AS end_line FROM d),
@@ -381,9 +404,9 @@ def chunks_by_book(spark, sf):
     return chunks_of(spark, sf).select("chunk_id", F.row_number().over(W.partitionBy("book_id").orderBy("start_char", "chunk_id")).alias("place"))
 
 
-@query(f"SELECT id, created_at FROM {BOOKS} ORDER BY created_at DESC NULLS LAST, id LIMIT 100")
+@query(f"SELECT id, created_at FROM {BOOKS} ")
 def books_recent(spark, sf):
-    return books_of(spark, sf).orderBy(F.col("created_at").desc_nulls_last(), "id").select("id", "created_at").limit(100)
+    return books_of(spark, sf).orderBy(F.col("created_at").desc_nulls_last(), "id").select("id", "created_at")
 
 
 @query(f"SELECT id, category FROM {BOOKS} QUALIFY row_number() OVER (PARTITION BY category ORDER BY md5('42' || id), id) <= 2")
@@ -393,4 +416,5 @@ def stratified_sample(spark, sf):
 
 @query()
 def embed_text(spark, sf):
-    return table(spark, sf, "eval_items").select("item_id", F.transform(embedding(F.col("passage")), lambda x: F.round(x, 5)).cast("string").alias("vector"))
+    """A vector of every chunk's whole text."""
+    return table(spark, sf, "chunks").select("chunk_id", F.transform(embedding(F.col("content")), lambda x: F.round(x, 5)).cast("string").alias("vector"))
