@@ -24,7 +24,7 @@ class FullTextIndex:
     """Postings (term, id, positions, dl) and lengths (id, dl) below one path.
 
     Inserts append, and nothing checks whether an id is there already; a delete writes the id to a table of
-    gone ids, which every read leaves out; ``compact`` rewrites the rest. Ids are strings. A text without any
+    gone ids, which every read leaves out; ``compact`` rewrites the rest, and an insert of an id that is gone does so first. Ids are strings. A text without any
     term counts as one of length 0; a null text isn't indexed."""
 
     def __init__(self, spark: SparkSession, path: str, analyser=tokens, buckets: int = BUCKETS):
@@ -38,6 +38,9 @@ class FullTextIndex:
 
     def insert(self, df: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> FullTextIndex:
         rows = df.select(F.col(id_col).cast("string").alias("id"), self.analyser(F.col(text_col)).alias("t")).where(F.col("id").isNotNull() & F.col("t").isNotNull())
+        gone = self._read("gone", "id string")
+        if rows.join(gone, "id", "left_semi").limit(1).count():  # an id that comes again must not stay gone
+            self.compact()
         rows.select("id", F.size("t").alias("dl")).write.mode("append").parquet(f"{self.path}/lengths")
         words = rows.select("id", F.size("t").alias("dl"), F.posexplode("t").alias("at", "term"))
         # the terms of one text lie in one task, so this needs no shuffle beyond the bucketing

@@ -165,11 +165,11 @@ def chunk_slices(spark, sf):
 h AS (SELECT id, raw, n, contains(raw, '##') OR contains(raw, '第') AS hit FROM l), k AS (SELECT *, sum(CASE WHEN hit AND n > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY n ROWS UNBOUNDED PRECEDING) AS k, bool_or(hit) OVER (PARTITION BY id) AS found FROM h),
 c AS (SELECT id, CAST(min(n) AS INTEGER) AS start_line, substring(regexp_replace(string_agg(raw, chr(10) ORDER BY n), '^[{WS}]+|[{WS}]+$', '', 'g'), 1, 3000) AS content FROM k WHERE found GROUP BY id, k),
 e AS (SELECT doc_id AS id, text, greatest(length(text) // 3, 1) AS w FROM documents WHERE length(text) > 0 AND NOT contains(text, '##') AND NOT contains(text, '第'))
-SELECT id, start_line, content FROM c WHERE length(content) > 0 UNION ALL SELECT id, NULL, substring(text, CAST(o AS INTEGER) + 1, CAST(w AS INTEGER)) FROM (SELECT *, unnest(range(0, length(text), w)) AS o FROM e)"""
+SELECT id, start_line, content FROM c WHERE length(content) > 0 UNION ALL SELECT id, -1, substring(text, CAST(o AS INTEGER) + 1, CAST(w AS INTEGER)) FROM (SELECT *, unnest(range(0, length(text), w)) AS o FROM e)"""
 )
 def chunk_boundaries(spark, sf):
     markers = F.array(F.lit("##"), F.lit(""), F.lit("第"))
-    return chunking.guided_chunks(table(spark, sf, "documents"), "doc_id", "text", markers).drop("piece")
+    return chunking.guided_chunks(table(spark, sf, "documents"), "doc_id", "text", markers).drop("piece").fillna(-1, ["start_line"])
 
 
 _QUALITY = """(SELECT id, n, round(CAST(0.3 AS DOUBLE) * greatest(0.0, 1 - s / greatest(a, 1.0)) + CAST(0.3 AS DOUBLE) * least(1.0, z / t) + CAST(0.2 AS DOUBLE) * least(1.0, n / greatest(t / 1000, 1.0)) + CAST(0.2 AS DOUBLE) * greatest(0.0, 1 - i / n), 6) AS score
@@ -212,8 +212,8 @@ def parse_indices(spark, sf):
 @query(
     _HYBRID + """, o AS (SELECT d.doc_id AS id, d.source, h.rrf, d.text, row_number() OVER (ORDER BY coalesce(d.source, ''), h.rrf DESC, CAST(d.doc_id AS VARCHAR)) AS number FROM hybrid h JOIN documents d ON d.doc_id = h.id),
 b AS (SELECT id, number, '## 素材 [' || number || ']' || chr(10) || '**来源**：《' || coalesce(source, '未知书籍') || '》' || chr(10) || '**相关性**：' || printf('%.2f', rrf) || chr(10) || '**内容**：' || coalesce(text, '') || chr(10) AS block FROM o),
-s AS (SELECT *, sum(floor(1.5 * (length(block) - length(regexp_replace(block, '[\\x{4e00}-\\x{9fff}]', '', 'g'))) + 0.25 * length(regexp_replace(block, '[\\x{4e00}-\\x{9fff}]', '', 'g')))) OVER (ORDER BY number ROWS UNBOUNDED PRECEDING) AS spent FROM b)
-SELECT CAST(id AS VARCHAR) AS id, CAST(number AS INTEGER) AS number, block, CAST(spent AS BIGINT) AS spent FROM s WHERE spent <= 2000"""
+spending AS (SELECT *, sum(floor(1.5 * (length(block) - length(regexp_replace(block, '[\\x{4e00}-\\x{9fff}]', '', 'g'))) + 0.25 * length(regexp_replace(block, '[\\x{4e00}-\\x{9fff}]', '', 'g')))) OVER (ORDER BY number ROWS UNBOUNDED PRECEDING) AS spent FROM b)
+SELECT CAST(id AS VARCHAR) AS id, CAST(number AS INTEGER) AS number, block, CAST(spent AS BIGINT) AS spent FROM spending WHERE spent <= 2000"""
 )
 def context_blocks(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source")
