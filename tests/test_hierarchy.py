@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quire.operators.hierarchy import descendants, hierarchy
+from quire.operators.hierarchy import cycles, descendants, hierarchy
 
 
 def by_hand(rows):
@@ -29,7 +29,10 @@ def by_hand(rows):
 def check(spark, rows, **kw):
     df = spark.createDataFrame([(i, p, "x", 1) for i, p in rows], "id string, parent_id string, path string, depth int")
     got = {r["id"]: (r["root"], r["path"], r["cycle_id"], r["on_cycle"]) for r in hierarchy(df, **kw).collect()}
-    assert got == by_hand(rows)
+    want = by_hand(rows)
+    assert got == want
+    lost = {r["id"]: (r["cycle_id"], r["on_cycle"]) for r in cycles(df, **kw).collect()}
+    assert lost == {i: (c, on) for i, (_, _, c, on) in want.items() if c is not None}
 
 
 @pytest.mark.parametrize("most", [200_000, 3])
@@ -59,3 +62,12 @@ def test_descendants(spark):
 
 def test_empty(spark):
     assert hierarchy(spark.createDataFrame([], "id string, parent_id string")).count() == 0
+
+
+def test_very_long_chains(spark):
+    """A chain of 200,000 nodes and a tail of 100,000 on a ring: only the lost ones come out, and no path is made."""
+    n, tail = 200_000, 100_000
+    chain = spark.range(n).selectExpr("format_string('k%06d', id) AS id", "IF(id = 0, NULL, format_string('k%06d', id - 1)) AS parent_id")
+    ring = spark.range(tail).selectExpr("format_string('r%06d', id) AS id", "IF(id = 0, 'r000006', format_string('r%06d', id - 1)) AS parent_id")
+    got = cycles(chain.unionByName(ring)).groupBy("cycle_id", "on_cycle").count().collect()
+    assert {tuple(r) for r in got} == {("r000000", True, 7), ("r000000", False, tail - 7)}
