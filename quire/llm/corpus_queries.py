@@ -9,7 +9,7 @@ from quire.llm.language import labelled_sample, mixed_languages, owner_languages
 from quire.llm.leaks import leaks
 from quire.llm.mojibake import repair_encoding
 from quire.llm.quota_sample import sample_to_targets
-from quire.llm.same_look import same_look, same_look_pairs
+from quire.llm.same_look import same_look, same_look_classes, same_look_pairs
 from quire.llm.similar import close_pairs, neighbours
 from quire.llm.split_tree import split_oversized
 from quire.llm.token_ids import token_ids
@@ -31,6 +31,12 @@ def p2_texts(spark, sf):
     return same_look(books.unionByName(chunks), "text").select("tab", "id", "same_look")
 
 
+def p2_classes(spark, sf):
+    """The same as p2_found with a row for each id: its class of texts that look alike."""
+    books = same_look_classes(table(spark, sf, "books"), "id", "title").select(F.lit("books").alias("tab"), "id", "class_id", "n_texts", "n_ids")
+    return books.unionByName(same_look_classes(table(spark, sf, "chunks"), "chunk_id", "content").select(F.lit("chunks").alias("tab"), "id", "class_id", "n_texts", "n_ids"))
+
+
 def _sampled(spark, sf):
     return sample_to_targets(table(spark, sf, "books"), table(spark, sf, "category_targets"))
 
@@ -120,10 +126,17 @@ def p10_sources(spark, sf):
     return cut_share(cut_off(table(spark, sf, "documents")))
 
 
+def p5_sizes(spark, sf):
+    """Of each oversized chunk: the longest piece, the first and last offset, and how many characters the pieces' own parts have together."""
+    rows = _pieces(spark, sf).distinct().groupBy("chunk_id", (F.col("abs_start") - F.col("start")).alias("start_char"))
+    own = F.sum(F.col("end") - F.col("cut"))
+    return rows.agg((F.max(F.col("end") - F.col("start")) <= 1024).alias("within"), F.min("start").alias("first"), F.max("end").alias("last"), own.alias("own"))
+
+
 QUERIES = {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
-_TRIM = r"regexp_replace(category, '^[\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+|[\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+$', '', 'g')".replace("\\u", "\\x")
-_TRIM = __import__("re").sub(r"\\x([0-9A-F]{4})", r"\\x{\1}", _TRIM)
+_SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_TRIM = f"regexp_replace(category, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
 _QUOTA = f"""WITH b AS (SELECT id, min({_TRIM}) AS category FROM books WHERE id IS NOT NULL GROUP BY id),
 n AS (SELECT count(*) // 5 AS n FROM b), a AS (SELECT category, count(*) AS available FROM b GROUP BY category),
 q AS (SELECT t.category, coalesce(a.available, 0) AS available, greatest((n.n * t.share_bp + 9999) // 10000, t.min_books) AS quota
@@ -135,4 +148,5 @@ SQL = {
     "p5_found": """WITH c AS (SELECT DISTINCT chunk_id, book_id, start_char, length(content) AS n FROM chunks WHERE length(content) > 1024),
 k AS (SELECT DISTINCT c.chunk_id, h.start_char AS cut_char FROM c JOIN chapters h ON h.book_id = c.book_id AND h.start_char > c.start_char AND h.start_char < c.start_char + c.n)
 SELECT chunk_id, cut_char FROM k UNION ALL SELECT DISTINCT chunk_id, CAST(-1 AS BIGINT) FROM c WHERE chunk_id NOT IN (SELECT chunk_id FROM k)""",
+    "p5_sizes": "SELECT DISTINCT chunk_id, start_char, TRUE AS within, CAST(0 AS BIGINT) AS first, CAST(length(content) AS BIGINT) AS last, CAST(length(content) AS BIGINT) AS own FROM chunks WHERE length(content) > 1024",
 }

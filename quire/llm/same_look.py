@@ -129,9 +129,9 @@ def _recompose(points: list[int], ccc: np.ndarray, pairs: dict) -> list[int]:
     return out
 
 
-def unify(texts: list[str]) -> list[str]:
+def unify(texts: list[str], using: tuple | None = None) -> list[str]:
     """The consistent form of each text."""
-    first, row, wide, ccc, pairs = tables()
+    first, row, wide, ccc, pairs = using or tables()
     flat, bounds = code_points(texts)
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
     to, at = first[flat], row[flat]
@@ -174,12 +174,12 @@ def unify(texts: list[str]) -> list[str]:
     return [s.strip() for s in strings(to, np.searchsorted(owner, np.arange(len(texts) + 1)))]
 
 
-def _unify_batches(column: str):
+def _unify_batches(column: str, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, column):
             c = b.column(column)
             texts = c.to_pylist()
-            done = iter(unify([t for t in texts if t is not None]))
+            done = iter(unify([t for t in texts if t is not None], shared.value))
             same = pa.array([None if t is None else next(done) for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, same], names=[*b.schema.names, "same_look"])
 
@@ -191,13 +191,28 @@ def same_look(df: DataFrame, column: str) -> DataFrame:
     df = df.drop("same_look") if column != "same_look" else df.withColumnRenamed(column, "text")
     column = "text" if column == "same_look" else column
     schema = T.StructType([*df.schema.fields, T.StructField("same_look", T.StringType())])
-    return df.mapInArrow(_unify_batches(column), schema)
+    shared = df.sparkSession.sparkContext.broadcast(tables())  # some 10 MB, whatever the data
+    return df.mapInArrow(_unify_batches(column, shared), schema)
 
 
-def same_look_pairs(df: DataFrame, id_col: str, column: str) -> DataFrame:
-    """(id_a, id_b): ids whose texts look the same and are different strings. Texts travel as 128-bit hashes."""
+def _looks(df: DataFrame, id_col: str, column: str) -> DataFrame:
+    """(id, raw, look): the distinct texts of each id, and what they look like, as 128-bit hashes."""
     rows = same_look(df.select(F.col(id_col).cast("string").alias("id"), F.col(column).alias("text")).where(F.col("id").isNotNull() & F.col("text").isNotNull()), "text")
-    keys = rows.where(F.length("same_look") > 0).select("id", F.unhex(F.md5("text")).alias("raw"), F.unhex(F.md5("same_look")).alias("look")).distinct()
+    return rows.where(F.length("same_look") > 0).select("id", F.unhex(F.md5("text")).alias("raw"), F.unhex(F.md5("same_look")).alias("look")).distinct()
+
+
+def same_look_classes(df: DataFrame, id_col: str, column: str) -> DataFrame:
+    """(id, class_id, n_texts, n_ids): each id whose text looks like a different string, with its class, the smallest id of it.
+
+    A row for an id, however many others look like it."""
+    keys = _looks(df, id_col, column)
+    classes = keys.groupBy("look").agg(F.min("id").alias("class_id"), F.count_distinct("raw").alias("n_texts"), F.count_distinct("id").alias("n_ids"))
+    return keys.select("id", "look").distinct().join(classes.where("n_texts > 1"), "look").select("id", "class_id", "n_texts", "n_ids")
+
+
+def same_look_pairs(df: DataFrame, id_col: str, column: str) -> DataFrame:
+    """(id_a, id_b): ids whose texts look the same and are different strings; same_look_classes says it with a row for each id."""
+    keys = _looks(df, id_col, column)
     mixed = keys.groupBy("look").agg(F.min("raw").alias("a"), F.max("raw").alias("b")).where("a <> b").select("look")
     some = keys.join(mixed, "look", "left_semi")
     pairs = some.alias("a").join(some.alias("b"), F.expr("a.look = b.look AND a.raw <> b.raw AND a.id < b.id"))

@@ -5,7 +5,7 @@ import pytest
 
 from quire.llm.quota_sample import sample_to_targets
 from quire.llm.similar import close_pairs, neighbours
-from quire.llm.split_tree import pack, split_oversized
+from quire.llm.split_tree import heading_level, pack, parse, split_oversized
 
 
 def test_sample(spark):
@@ -88,12 +88,39 @@ def test_neighbours_cases(spark):
 @pytest.mark.parametrize("seed", range(6))
 def test_pack_keeps_every_character(seed):
     g = random.Random(seed)
-    text = "".join(g.choice(["第一章 标题\n", "很长的句子，没有停。", "word ", "x" * g.randrange(1, 1500), "\n\n", "End. "]) for _ in range(60))
+    text = "".join(g.choice(["第一章 标题\n", "很长的句子，没有停。", "word ", "x" * g.randrange(1, 1500), "\n\n", "End. ", "- item\n", "  - inner\n", "```\ncode\n", "# A\n", "## B\n\n"]) for _ in range(60))
     cuts = [g.randrange(-5, len(text) + 5) for _ in range(8)]
     pieces = pack(text, cuts)
-    assert "".join(text[a:b] for a, b, _ in pieces) == text
-    assert all(b - a + (128 if i else 0) <= 1024 for i, (a, b, _) in enumerate(pieces))
-    assert {a for a, _, k in pieces if k == "chapter"} == {c for c in cuts if 0 < c < len(text)}
+    assert "".join(text[a:b] for a, b, *_ in pieces) == text
+    assert all(b - a + (128 if i else 0) <= 1024 for i, (a, b, *_) in enumerate(pieces))
+    assert {a for a, _, k, _ in pieces if k == "chapter"} == {c for c in cuts if 0 < c < len(text)}
+
+
+def test_tree_of_a_text():
+    text = "intro\n# A\n\nfirst\nmore\n\n- one\n  - two\n  goes on\n- three\n## B\n```\n# no heading\n```\nend\n# C\nlast"
+    root = parse(text, 0, len(text), set())
+
+    def shape(n):
+        return (n.kind, n.title, [shape(c) for c in n.children], text[n.start : n.end])
+
+    def kinds(n):
+        return [(c.kind, c.title, kinds(c)) for c in n.children]
+
+    assert kinds(root) == [
+        ("paragraph", "", []),
+        ("heading", "A", [("paragraph", "", []), ("list", "", [("item", "", [("item", "", [])]), ("item", "", [])]), ("heading", "B", [("paragraph", "", []), ("paragraph", "", [])])]),
+        ("heading", "C", [("paragraph", "", [])]),
+    ]
+    assert shape(root.children[1].children[1])[3] == "- one\n  - two\n  goes on\n- three\n"
+
+
+def test_headings_stay_with_what_follows_and_stacks_grow():
+    text = "# A\n" + "word " * 150 + "\n\n## B\n\n" + "word " * 300 + "\n# C\n- one\n- two\n" + "word " * 100
+    pieces = pack(text, [])
+    assert [(p[2], p[3]) for p in pieces] == [("start", ["A"]), ("heading", ["A", "B"]), ("word", ["A", "B"]), ("heading", ["C"])]
+    assert all(not text[a:b].rstrip().endswith(("# A", "## B", "# C")) for a, b, *_ in pieces)
+    levels = [heading_level(x) for x in ("第一部 甲", "第二章 乙", "第三节", "一、丙", "（一）丁", "1.2 x", "1.2.3 x", "### x", "word", "", "x" * 90)]
+    assert levels == [1, 2, 3, 4, 5, 2, 3, 3, None, None, None]
 
 
 def test_split(spark):

@@ -10,7 +10,7 @@ from quire.llm import cut_off as C
 from quire.llm import leaks as L
 from quire.llm import mojibake as M
 from quire.llm.language import label_texts, mixed_languages, owner_languages, segments, train
-from quire.llm.same_look import same_look, same_look_pairs, unify
+from quire.llm.same_look import same_look, same_look_classes, same_look_pairs, unify
 from quire.llm.token_ids import PATTERN, PairTable, token_ids
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -158,6 +158,14 @@ def test_single_letters_of_another_script_count_together(spark):
     assert a[0] != a[1] and a[0] < 1 << M.ONE_BITS
 
 
+def test_classes_are_what_the_pairs_connect(spark):
+    rows = [("a", "ﬁre"), ("b", "fire"), ("b", "fire"), ("c", "fire"), ("d", "ｆｉｒｅ"), ("e", "Fire"), ("f", None), (None, "fire"), ("g", "x")]
+    df = spark.createDataFrame(rows, "id string, look string")
+    classes = {r["id"]: (r["class_id"], r["n_texts"], r["n_ids"]) for r in same_look_classes(df, "id", "look").collect()}
+    assert classes == {i: ("a", 3, 4) for i in "abcd"}
+    assert {(r[0], r[1]) for r in same_look_pairs(df, "id", "look").collect()} == {("a", "b"), ("a", "c"), ("a", "d"), ("b", "d"), ("c", "d")}
+
+
 def covered(passage, text):
     p = L.Passages([(1, passage)])
     flat, bounds = L.code_points([text])
