@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -23,11 +25,19 @@ def build_session(app: str = "quire", master: str | None = None, shuffle_partiti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; only where unset, a temporary one of our own."""
+    """The folder all executors share: spark.checkpoint.dir of the session; only where unset, a temporary one of our own.
+
+    That one is on this machine, so it is for a local master only; a cluster must name its folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = kept.get() if kept.isDefined() else "file://" + tempfile.mkdtemp(prefix="quire-")
+        if kept.isDefined():
+            at = kept.get()
+        elif spark.sparkContext.master.startswith("local"):
+            at = "file://" + tempfile.mkdtemp(prefix="quire-")
+            atexit.register(shutil.rmtree, at[7:], True)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
@@ -37,13 +47,27 @@ def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    _STAGES.append(at)
     return spark.read.schema(df.schema).parquet(at), at
 
 
+_STAGES: list[str] = []  # written stages that are there still
+
+
+def release(spark: SparkSession) -> int:
+    """Removes every written stage of this session; results that read them must be stored before. Gives how many."""
+    gone = list(_STAGES)
+    for at in gone:
+        dropped(spark, at)
+    return len(gone)
+
+
 def dropped(spark: SparkSession, at: str) -> None:
     """Removes a written stage that no later plan reads."""
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if at in _STAGES:
+        _STAGES.remove(at)
 
 
 def estimated_bytes(df: DataFrame) -> int:
