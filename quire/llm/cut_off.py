@@ -8,7 +8,8 @@ end for a value that stops without a sign, a clause's end for an item of a list
 sentence's end for one with a mark added.
 
 How a line begins (as an item, a heading, a signature, a note, or none of these) is part of every context in it, so
-names and numbers that end signatures and notes are known as ends there. Digits count as one character.
+names and numbers that end signatures and notes are known as ends there. In items, headings and talk, whose words
+are those of plain lines, what is known of plain lines comes first. Digits count as one character.
 
 The shape of an ending (bare, item, verse, signed, note, marked, bracketed, trailing: a mark after a clause alone in
 its line) is only where its threshold starts from. Thresholds are learnt for each language, script and shape of the
@@ -69,6 +70,7 @@ SIGN = re.compile(r"[。！？!?；，、,;：:]|\.\s|[.…”』」»\")）\]
 # How a line of each class begins.
 BEGINS = re.compile(r"^[ \t\u3000]*(?:(?P<head>#{1,6}\s|第\s?[0-9０-９零〇一二三四五六七八九十百千两]+\s?[章节回卷篇部集])|(?P<dash>[—–―]{2}|--|[—–―]\s)|(?P<talk>[—–―])|(?P<slash>[/~])|(?P<sign>(?:signed|signé|gezeichnet|gez|firmado|подписано|署名|记)\s*[:：.])|(?P<item>[*•·□■○●◦▪✓☐+-]\s|[(（]?\d{1,3}[.)、）](?!\d)|[a-z]\)\s|[①-⑳])|(?P<bracket>〔)|(?P<note>附|图|注|见|参见|参看|第|#\s?\d|№|(?:No|no|Nr|fig|Fig|p|pp|S|vol|cf|см|стр|рис|núm|n°)\.?\s*№?\s*\d))", re.M)
 CLASSES = {"head": 1, "sign": 2, "item": 3, "note": 4, "dash": 5, "slash": 6, "talk": 7, "bracket": 8}
+PROSE = {CLASSES[c] for c in ("head", "item", "talk")}  # their words are those of plain lines
 VERSE = 2  # lines above the last one that must look like verse too
 CLAUSE = re.compile(r"[。！？!?；，、,;：:]|\.\s")
 NOTE = re.compile(r"^\s*(?:〔[^，。]*|(?:No|no|Nr|fig|Fig|p|pp|S|vol|cf|см|стр|рис|núm|n°)\.?\s*№?\s*\d[\d.–-]*|(?:附|图|注|见|参见|参看|第)[：:]?[^，。]{0,12}\d+|#\s*\d+|№\s*\d+|附[：:].*)$")
@@ -127,24 +129,26 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["kind", "script", "key", "contexts", "n_line", "n_sentence", "n_clause", "n_chars"]
-    types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["kind", "script", "key", "contexts", "others", "n_line", "n_sentence", "n_clause", "n_chars"]
+    types = [pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     for b in blocks(batches, "text"):
         out = []
         for text in b.column("text").to_pylist():
             kind, stem = _look(text)
-            contexts, key, script = None, None, "alphabetic"
+            contexts, key, script, others = None, None, "alphabetic", 0
             if stem and any(ord(c) >= 0x2E80 for c in stem[-2:]):
                 script = "ideographic"
             if kind in ASKED and stem:
                 line = stem.rfind("\n") + 1
                 flat, classes = _points([stem[min(line, max(0, len(stem) - max(ORDERS))) :]])
-                contexts = [int(_hash(flat[-k:], classes[-k:], k)[-1].astype(np.int64)) for k in ORDERS if len(flat) >= k]
+                kinds = [0, classes[-1]] if classes[-1] in PROSE else [classes[-1]]
+                contexts = [int(_hash(flat[-k:], np.full(k, c, np.uint8), k)[-1].astype(np.int64)) for c in kinds for k in ORDERS if len(flat) >= k]
+                others = len(contexts) // 2 if classes[-1] in PROSE else 0
                 key = int.from_bytes(blake2b(f"{kind}|{stem}".encode(), digest_size=8).digest(), "big", signed=True)
             text = text or ""
             line = text.count("\n") + 1
             sentence = line + sum(text.count(c) for c in SENTENCE_END if c != "\n")
-            out.append((kind, script, key, contexts, line, sentence, sentence + sum(text.count(c) for c in CLAUSE_END if c not in SENTENCE_END), len(text)))
+            out.append((kind, script, key, contexts, others, line, sentence, sentence + sum(text.count(c) for c in CLAUSE_END if c not in SENTENCE_END), len(text)))
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "source", "lang")), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], names=["doc_id", "source", "lang", *names])
 
 
@@ -229,10 +233,10 @@ def cut_off(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     code = F.when(code.rlike("^[a-z]{2,3}(-[a-z]{2,3})?$"), code).otherwise("und")
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), code.alias("lang"), F.col(text_col).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    ends = rows.mapInArrow(_endings, f"doc_id {id_type}, source string, lang string, kind string, script string, key long, contexts array<long>, n_line long, n_sentence long, n_clause long, n_chars long")
+    ends = rows.mapInArrow(_endings, f"doc_id {id_type}, source string, lang string, kind string, script string, key long, contexts array<long>, others int, n_line long, n_sentence long, n_clause long, n_chars long")
     ends, _ = written(ends, "cut")
     # copies of an ending are scored once
-    endings = ends.where(F.col("contexts").isNotNull()).groupBy("key", "kind", "script").agg(F.count("*").alias("copies"), F.first("contexts").alias("contexts"))
+    endings = ends.where(F.col("contexts").isNotNull()).groupBy("key", "kind", "script").agg(F.count("*").alias("copies"), F.first("contexts").alias("contexts"), F.first("others").alias("others"))
     rates = {(r[0], r[1]): {s: (r[2], r[3 + i]) for i, s in enumerate(("line", "sentence", "clause"))} for r in ends.groupBy("lang", "script").agg(*(F.sum(c) for c in ("n_chars", "n_line", "n_sentence", "n_clause"))).collect()}
     asked = endings.select(F.explode("contexts").alias("c"))
     slot = F.shiftrightunsigned("c", 64 - BITS)
@@ -242,7 +246,8 @@ def cut_off(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     bitmap[got["w"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
     shared = spark.sparkContext.broadcast(bitmap.tobytes())
     counts = rows.select("text").mapInArrow(_counts(shared), "context long, n long, line_ends long, sentence_ends long, clause_ends long").groupBy("context").agg(*(F.sum(c).alias(c) for c in ("n", "line_ends", "sentence_ends", "clause_ends")))
-    met = endings.select("key", "kind", "script", "copies", F.posexplode("contexts").alias("k", "context")).join(counts, "context")
+    met = endings.select("key", "kind", "script", "copies", "others", F.posexplode("contexts").alias("k", "context")).join(counts, "context")
+    met = met.withColumn("copies", F.when(F.col("k") < F.col("others"), F.lit(0)).otherwise(F.col("copies")))  # their own line isn't counted there
     sort = F.coalesce(*(F.when(F.col("kind").isin([k for k, s in ASKED.items() if s == sort]), F.lit(sort)) for sort in ("line", "clause", "sentence")))
     own = F.when(sort == "sentence", F.lit(0)).otherwise(F.col("copies"))
     n = F.greatest(F.col("n") - F.col("copies"), F.lit(0))
