@@ -42,11 +42,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
-    """Cuts the lineage: df written as a table into the shared folder, and read again. Survives the loss of executors."""
+def written(df: DataFrame, what: str, by: str | None = None) -> tuple[DataFrame, str]:
+    """Cuts the lineage: df written as a table into the shared folder, by: a folder for each value of that column, and read again. Survives the loss of executors."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    (df.write.partitionBy(by).option("compression", "zstd") if by else df.write).parquet(at)
     _STAGES.append(at)
     return spark.read.schema(df.schema).parquet(at), at
 

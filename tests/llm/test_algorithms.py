@@ -85,6 +85,45 @@ def test_neighbours_cases(spark):
     assert len(near["z"]) == 10 and neighbours(df.limit(0), "id", "v").count() == 0
 
 
+def test_neighbours_take_little_disk(spark, tmp_path, monkeypatch):
+    """Stages and shuffles together stay below four times the table, of whose values there are few different ones."""
+    from quire import session
+    from quire.llm import similar
+
+    monkeypatch.setattr(similar, "SAMPLE", 600)  # what is taken for fitting doesn't grow with the table
+    monkeypatch.setattr(similar, "ASKED", 64)
+    g = np.random.default_rng(2)
+    x = np.round(g.normal(size=(6_000, 64)) * 40) / 256
+    spark.createDataFrame([(f"{i:08x}-{g.integers(1 << 48):012x}", v.tolist()) for i, v in enumerate(x)], "id string, v array<float>").write.option("compression", "zstd").parquet(f"{tmp_path}/in")
+    size = lambda at: sum(p.stat().st_size for p in __import__("pathlib").Path(at.removeprefix("file://")).rglob("*.parquet"))
+    files = lambda: {f.getName(): f.length() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles())}
+    stages, shuffled = list(session._STAGES), files()
+    neighbours(spark.read.parquet(f"{tmp_path}/in"), "id", "v").write.parquet(f"{tmp_path}/out")
+    taken = sum(size(at) for at in session._STAGES if at not in stages) + sum(n for f, n in files().items() if f not in shuffled)
+    assert taken < 4 * size(f"{tmp_path}/in")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 60_000
+
+
+def test_neighbours_of_copies_and_of_ids_with_several_vectors(spark):
+    g = np.random.default_rng(3)
+    x = np.round(g.normal(size=(300, 64)) * 40) / 256
+    rows = [(f"v{i:03}", v.tolist()) for i, v in enumerate(x)] + [(f"w{i:03}", (x[i] * 2).tolist()) for i in range(5)] + [("v000", (x[0] * 3).tolist()), ("v009", max(x[9].tolist(), (-x[9]).tolist())), ("v010", g.normal(size=64).tolist()), ("t", (x[4] / 7).tolist())]
+    best: dict = {}
+    for i, v in rows:
+        v = np.array(v, np.float32).tolist()
+        best[i] = min(v, best.get(i, v))
+    ids = sorted(best)
+    u = np.array([best[i] for i in ids])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 9)
+    want = {i: [ids[j] for j in sorted(set(range(len(ids))) - {n}, key=lambda j, n=n: (-s[n, j], ids[j]))[:3]] for n, i in enumerate(ids)}
+    got: dict = {}
+    for r in neighbours(spark.createDataFrame(rows, "id string, v array<float>").repartition(3), "id", "v", 3).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["neighbour"])
+    assert got["t"][:2] == ["v004", "w004"] and set(got) == set(want)
+    assert np.mean([got[i] == want[i] for i in ids]) > 0.9
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_pack_keeps_every_character(seed):
     g = random.Random(seed)
