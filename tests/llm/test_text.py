@@ -147,6 +147,28 @@ def test_a_third_of_all_rows_garbled(spark, true, wrong):
     assert len(got & set(garbled)) > 0.9 * len(garbled) and len(got - set(garbled)) <= 0.02 * len(texts)
 
 
+def test_common_pairs_come_from_all_texts_and_their_whole_length(spark):
+    """What is garbled stands behind the first thousand characters, and in 1.2 % of more texts than a sample would hold."""
+    bad = "The boat drifted down the river. " * 40 + CLEAN[0].encode().decode("latin-1")
+    texts = [(str(i), CLEAN[i % 450] if i % 83 else bad) for i in range(4_000)]
+    df = spark.createDataFrame(texts, "id string, text string")
+    assert M.common_pairs(df, spark.sparkContext.broadcast(clean_model())) == {("western", "utf-8")}
+    assert M.common_pairs(df.where("length(text) < 1000"), spark.sparkContext.broadcast(clean_model())) == frozenset()
+
+
+def test_texts_worth_a_search_are_those_that_a_pair_explains():
+    model = clean_model()
+    pairs = sorted((w, t) for w, t in M.EVERY if w in ("western", "mac_roman", "gb18030", "big5") and t in ("utf-8", "gb18030"))
+    texts = ["", "plain", *CLEAN[:3], "𠁁" * 9, "ÿ" * 20]
+    for wrong, true in pairs:
+        texts += ["x " * 30 + M.to_bytes(c, true).decode("latin-1" if wrong == "western" else wrong, "ignore") for c in CLEAN[:3]]
+    worth = M.worth_a_search(model, texts)
+    for t, w in zip(texts, worth):
+        spans = M.repair_once(model, t, M.EVERY)[1]
+        assert w or not any(sum(c > "\x7f" for a, b, *q in spans if tuple(q) == p for c in t[a:b]) >= 0.5 * sum(c > "\x7f" for c in t) for p in {tuple(x[2:]) for x in spans})
+    assert worth.any() and not worth[:5].any()
+
+
 def test_single_letters_of_another_script_count_together(spark):
     rows = __import__("duckdb").sql("select distinct content from '/root/testdata/sf0.1/chunks.parquet' where length(content) between 150 and 400 order by content").fetchall()
     some = [t for (t,) in rows if sum(c in "éèàêíóñúüä" for c in t) > 4 and not any("\u0250" <= c < "\u2000" or c > "\u2100" or c in "ÃÂ√" for c in t)][:300]
